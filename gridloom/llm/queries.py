@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing
+from gridloom.llm import mixing, packing, simhash, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = wavelet.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return wavelet.read(spark, path)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -37,5 +47,15 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
-QUERIES = {"op9_mixing": op9_mixing}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces_of(documents(spark, sf_dir), path, end_id=1))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op5_wavelet": op5_wavelet,
+    "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
+}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
