@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import counting, mixing, packing, simhash, wavelet
+from gridloom.llm import counting, mixing, packing, simhash, vectors, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op7_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_wavelet": op5_wavelet,
     "op7_counting": op7_counting,
+    "op8_vectors": op8_vectors,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
