@@ -4,6 +4,9 @@ A single space between two characters that are not white space always begins a n
 none of their patterns joins what stands before such a space to what follows, and none looks behind. So a text's ids
 are the ids of the pieces between such spaces, one after another, and a piece met again need not be encoded again.
 Special strings contain no space, so they stay inside a piece and are handled as the library does by default.
+
+A new piece that is one plain word, or one with a mark behind it, goes straight to the library's model, spelled as the
+library's normaliser and pre-tokeniser spell its letters; any other goes through the whole library.
 """
 
 from __future__ import annotations
@@ -18,11 +21,16 @@ import numpy as np
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
-#: The memory is emptied when it holds more pieces or characters than these.
-MOST_PIECES = 300_000
-MOST_CHARS = 16_000_000
+#: Letters that normalisers and pre-tokenisers treat one by one, and marks that always begin a word of their own.
+LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+MARKS = ".,;:!?"
+PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]?)")
+PROBES = ("Word", "stra\u00dfe,", "\u00c9l\u00e8ve.", "ni\u00f1o", "I!", "\u00dcber", "don", "s")
+#: When the memory holds more pieces or characters than these, it keeps the short ones that were met again.
+MOST_PIECES = 600_000
+MOST_CHARS = 32_000_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 2_000_000
 
 _loaded: dict[str, PieceEncoder] = {}
 
@@ -54,14 +62,78 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.forget()
+        self.spelling = self.spelt()
+
+    def spelt(self) -> tuple[dict[int, str], str, dict[str, list[int]]] | None:
+        """How letters and a space before a word are spelled, and ids of the marks; None if words aren't spelled so."""
+        t = self.tokenizer
+        tidy = t.normalizer.normalize_str if t.normalizer else str
+        shown = lambda x: [w for w, _ in t.pre_tokenizer.pre_tokenize_str(tidy(x))]
+        letters = {ord(c): shown(c)[0] for c in LETTERS}
+        space = shown(" a")[0].removesuffix(letters[ord("a")])
+        marks = {m: t.encode(m, add_special_tokens=False).ids for m in MARKS} | {"": []}
+        spelling = letters, space, marks
+        for p in PROBES:
+            for q in (p, " " + p):
+                if self.plain(spelling, q, *PLAIN.fullmatch(p).groups()) != t.encode(q, add_special_tokens=False).ids:
+                    return None
+        return spelling
+
+    def plain(self, spelling, piece: str, word: str, mark: str) -> list[int]:
+        letters, space, marks = spelling
+        spelled = word.translate(letters)
+        return [x.id for x in self.model.tokenize(space + spelled if piece[0] == " " else spelled)] + marks[mark]
+
+    def encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of new pieces."""
+        out: list = [None] * len(pieces)
+        if self.spelling:
+            match, words = PLAIN.fullmatch, {}
+            for i, piece in enumerate(pieces):
+                spaced = piece[:1] == " "
+                found = match(piece, 1 if spaced else 0)
+                if found:
+                    word, mark = found.groups()
+                    stem = piece[: len(piece) - len(mark)]
+                    ids = words.get(stem)
+                    if ids is None:
+                        n = self.numbers.get(word, -1) if spaced and mark else -1
+                        known = 0 <= n < len(self.start)
+                        ids = self.flat[self.start[n] : self.start[n] + self.length[n]].tolist() if known else self.plain(self.spelling, piece, word, "")
+                        words[stem] = ids
+                    out[i] = ids + self.spelling[2][mark] if mark else ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def forget(self) -> None:
         self.numbers, self.chars, self.used = _Numbers(), 0, 0
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.alone = np.zeros(0, bool)
+        self.alone, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
 
+    def thin_out(self) -> None:
+        """Forgets what was met once, is long, or is not among the half that is met most."""
+        keys = list(self.numbers)
+        sizes = np.fromiter((len(k) if isinstance(k, str) else len(k[0]) for k in keys), np.int64, len(keys))
+        keep = np.flatnonzero((self.uses > 1) & (sizes < 100))
+        if len(keep) > MOST_PIECES // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: MOST_PIECES // 2]])
+        length, start = self.length[keep], self.start[keep]
+        ends = np.cumsum(length)
+        total = int(length.sum())
+        flat = self.flat[np.repeat(start - (ends - length), length) + np.arange(total)]
+        alone, uses = self.alone[keep], self.uses[keep] // 2
+        self.forget()
+        for i in keep.tolist():
+            self.numbers[keys[i]]
+        self.numbers.new = []
+        self.start, self.length, self.alone, self.uses = ends - length, length, alone, uses
+        self.flat, self.used, self.chars = flat, total, int(sizes[keep].sum())
+
     def learn(self) -> None:
         """Encodes the new pieces and notes which may stand alone: those without white space at an end."""
         new, self.numbers.new = self.numbers.new, []
@@ -74,22 +146,23 @@ class PieceEncoder:
             for p, q in zip(new, bare, strict=True)
         ]
         ready = [" " + p if isinstance(p, str) else p[0] for p in new]
-        ids = [e.ids for e in self.tokenizer.encode_batch(ready, add_special_tokens=False)]
+        ids = self.encoded(ready)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(length.sum())
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat), 1 << 16), np.uint32)])
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.alone = np.concatenate([self.alone, np.array(alone, bool)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.used += total
         self.chars += sum(map(len, bare))
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and how many each text has."""
         if len(self.numbers) > MOST_PIECES or self.chars > MOST_CHARS:
-            self.forget()
+            self.thin_out()
         get = self.numbers.__getitem__
 
         def look_up(parts: list[str]) -> list[int]:
@@ -106,6 +179,7 @@ class PieceEncoder:
             for i in np.unique(np.repeat(np.arange(len(texts)), counts)[~self.alone[numbers]]).tolist():
                 each[i] = look_up(SPLIT.split(texts[i]))
             numbers, counts = joined()
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         return numbers, counts
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:

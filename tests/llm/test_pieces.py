@@ -37,6 +37,14 @@ def test_no_texts(both):
     same(both, [])
 
 
+def test_plain_words_take_the_short_way(both):
+    own = both[1]
+    assert own.spelling is not None
+    words = ["Straße", "élève", "NIÑO", "don", "Ünïcödé", "ÿ", "x", "İstanbul", "ΑΣ", "œuvre", "ªb", "straße", "ǅ"]
+    same(both, [" ".join(w + m for w in words for m in ["", ",", ".", "!?", "'s", "..", ",x"])] + words + [" " + w for w in words])
+    same(both, [" ".join(w + m for m in [",", ".", ""] for w in words)])
+
+
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet=st.sampled_from(" \n\t\r ab'srtl.,é́ßΣσ1!<|>endoftext"), max_size=40), max_size=4))
 def test_any_text(both, texts):
