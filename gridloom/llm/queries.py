@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import counting, mixing, packing, simhash, vectors, wavelet
+from gridloom.llm import counting, mixing, orderminhash, packing, simhash, vectors, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_orderminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.compare_edited(documents(spark, sf_dir))
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return wavelet.read(spark, path)
@@ -62,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_orderminhash": op4_orderminhash,
     "op5_wavelet": op5_wavelet,
     "op7_counting": op7_counting,
     "op8_vectors": op8_vectors,
