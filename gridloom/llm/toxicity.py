@@ -30,7 +30,7 @@ from gridloom.llm.common import cut, small
 SAMPLE = 12_000
 #: Pieces of evidence, at most; least share of the toxic documents that have one, least log odds, and least log
 #: likelihood ratio: thousands of words are tried, and chance must not make one of them evidence.
-MOST_FEATURES, LEAST_SHARE, LEAST_ODDS, LEAST_RATIO = 4096, 0.01, 2.5, 24.0
+MOST_FEATURES, LEAST_SHARE, LEAST_ODDS, LEAST_RATIO = 4096, 0.01, 4.3, 24.0
 #: Fixed values of the channel: what a character may stand for.
 IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il",
