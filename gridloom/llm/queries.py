@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import counting, language, mixing, orderminhash, packing, simhash, toxicity, vectors, wavelet
+from gridloom.llm import counting, language, mixing, orderminhash, packing, simhash, toolcalls, toxicity, vectors, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, path)
 
 
+#: Tools that conversations may call.
+SCHEMAS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
+    "calculate": {"properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+}
+
+
+def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"), SCHEMAS)
+
+
 def op7_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -82,6 +93,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_orderminhash": op4_orderminhash,
     "op5_wavelet": op5_wavelet,
+    "op6_toolcalls": op6_toolcalls,
     "op7_counting": op7_counting,
     "op8_vectors": op8_vectors,
     "op9_mixing": op9_mixing,
