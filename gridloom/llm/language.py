@@ -40,8 +40,8 @@ RESULT = StructType([StructField("lang", StringType()), StructField("score", Dou
 
 
 def is_learned(doc_id: Column) -> Column:
-    """Documents that may be learned from; the others are held out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
+    """Documents that may be learned from; the others, and those without an id, are held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - 2000, F.lit(1))) + 1
     rows = drawn.select("lang", F.substring("text", place.cast("int"), F.lit(2000)).alias("text")).limit(2 * sample).collect()
     number = {x: k for k, x in enumerate(languages)}
-    rows = [r for r in rows if r["text"]]
+    rows = sorted(r for r in rows if r["text"])  # one order, whatever came first
     languages = [x for x in languages if any(r["lang"] == x for r in rows)]
     number = {x: k for k, x in enumerate(languages)}
     network = ByteNetwork(languages)

@@ -58,8 +58,8 @@ for _c in range(26):
 
 
 def is_learned(doc_id: Column) -> Column:
-    """Documents whose labels may be learned from; the others are held out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+    """Documents whose labels may be learned from; the others, and those without an id, are held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
 def symbols(text: str) -> np.ndarray:
@@ -292,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     n = known.count()
     if not n:
         return scorer
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * sample // n + 1)).limit(sample)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < (1_000_000 if n <= sample else 950_000 * sample // n)).limit(sample)
     drawn = F.broadcast(drawn.dropDuplicates(["doc_id"]))  # `sample` rows of two numbers at most
     rows = cut(docs.select("doc_id", "text").where(F.length("text") > 0).join(drawn, "doc_id").select("text", "toxic").dropDuplicates(["text"]))
     shared = spark.sparkContext.broadcast(scorer)
@@ -330,6 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], names=["x", "n", "toxic"])
 
     fitted = np.array([tuple(r) for r in rows.mapInArrow(measured, "x double, n double, toxic int").collect()], float)
+    fitted = fitted[np.lexsort(fitted.T)]  # one order, whatever came first
     scorer.curve = logistic(fitted[:, :2], fitted[:, 2])
     return scorer
 

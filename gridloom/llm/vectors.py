@@ -225,8 +225,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, probes: int =
     grouped = cut(rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight")))
     distinct = grouped.withColumn("uid", F.monotonically_increasing_id())
     n = distinct.count()
-    share = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * sample / n) + 1)
+    share = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < (1_000_000 if n <= sample else 950_000 * sample // n)
     fitted_on = np.array([r[0] for r in distinct.where(share).select("embedding").limit(sample).collect()], np.float64)
+    # One order, whatever came first, and not one of the values'.
+    fitted_on = np.random.default_rng(0).permutation(fitted_on[np.lexsort(fitted_on.T)]) if len(fitted_on) else fitted_on
     if not len(fitted_on):
         fitted_on = np.array([r[0] for r in distinct.select("embedding").limit(1).collect()], np.float64)
     # At most MOST_LISTS centroids and SUBSPACES codebooks of CODEWORDS entries: a few MB at any size of the table.
