@@ -32,8 +32,9 @@ WINDOW, BATCH, STEPS, RATE = 48, 128, 260, 0.02
 CORE, CONTEXT = 224, 16
 #: Windows read at a time.
 LANES = 1024
-#: A document is kept by the pipeline if its pooled probability is at least this.
-SURE = 0.35
+#: Least pooled probability of a kept document. Documents in several languages have low ones and are no junk, so the
+#: pipeline drops only what has no language at all.
+SURE = 0.0
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
@@ -236,7 +237,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, sure: float = SURE, network: ByteNetwork | None = None) -> DataFrame:
-    """The columns of docs; documents without a letter, or in no language with enough probability, go."""
+    """The columns of docs; documents without a letter go, and those whose probability is below `sure`."""
     predicted = predictor(docs, network or train(docs))
     rows = docs.withColumn("__language", predicted(docs["text"]))
     return rows.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= sure)).drop("__language")
