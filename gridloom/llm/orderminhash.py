@@ -115,12 +115,13 @@ def compare_edited(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs."""
     spark, keys = docs.sparkSession, ["none", "key"]
     tasks = tasks or 4 * partitions(spark)
-    base = docs.select(
+    read = docs.select(
         F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).repartition(tasks, *keys)
+    )
     third = F.floor(F.length("text") / 3).cast("int")
-    ids = cut(base.groupBy(*keys).agg(F.max(third).alias("most")))
+    ids = cut(read.groupBy(*keys).agg(F.max(third).alias("most")))
+    base = read.repartition(tasks, *keys)
     after = cut(successors(ids.select(*keys)).join(ids, keys))
     # What the next document gives: its text travels to its predecessor no further than that one needs.
     wanted = after.select(F.col("next_none").alias("none"), F.col("next_key").alias("key"), F.col("none").alias("to_none"), F.col("key").alias("to_key"), "most")
