@@ -6,8 +6,9 @@ of a bounded sample of labelled documents; all documents are then labelled in fu
 carry some context on both sides, many windows at a time, so that memory is bounded whatever a text's length.
 
 Edge cases: a null text or one without a letter is `und` with score 0; without labelled documents every text is `und`;
-documents with a null language are not learned from; repeated rows get equal results; an empty table gives an empty
-result; other columns of the input are not read (`identify`) or come back as they are (`keep_known`).
+documents with a null language are not learned from; where nothing is learned, `keep_known` keeps every text with a
+letter; repeated rows get equal results; an empty table gives an empty result; other columns of the input are not read
+(`identify`) or come back as they are (`keep_known`).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 1500
@@ -32,9 +33,9 @@ WINDOW, BATCH, STEPS, RATE = 48, 128, 260, 0.02
 CORE, CONTEXT = 224, 16
 #: Windows read at a time.
 LANES = 1024
-#: Least pooled probability of a kept document. Documents in several languages have low ones and are no junk, so the
-#: pipeline drops only what has no language at all.
-SURE = 0.0
+#: Least probability of a position's label, least run of positions with one label, and least share of a kept document's
+#: positions in such runs. Documents in several languages have as many of these as others, whatever their pooled ones.
+SURE, RUN, ENOUGH = 0.4, 8, 0.1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
@@ -120,18 +121,22 @@ class ByteNetwork:
         return g
 
     def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 2) -> None:
-        """Adam over windows at random places of texts, every language as often."""
+        """Adam over windows at random places of texts, every language as often. A label that no text has is noise's."""
         rng = np.random.default_rng(seed)
         of = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
+        anything = np.arange(len(texts))
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
             y = rng.integers(0, len(of), BATCH)
             x = np.full((WINDOW, BATCH), 256)
             for lane, k in enumerate(y):
-                text = texts[of[k][rng.integers(len(of[k]))]]
+                own = of[k] if len(of[k]) else anything
+                text = texts[own[rng.integers(len(own))]]
                 at = rng.integers(0, max(1, len(text) - WINDOW + 1))
                 part = text[at : at + rng.integers(WINDOW // 4, WINDOW + 1)]
+                if own is anything:
+                    part = scrambled(part, rng)
                 x[: len(part), lane] = np.frombuffer(part, np.uint8)
             rate = RATE * min(1, 4 * (1 - step / (steps + 1)))
             for k, d in self.gradients(x, y).items():
@@ -171,6 +176,35 @@ class ByteNetwork:
             np.add.at(total, text, np.einsum("tnc,tn->nc", labels, counted.astype(np.float32)))
         return total / np.maximum(total.sum(1, keepdims=True), 1e-9)
 
+    def shares(self, texts: list[bytes]) -> np.ndarray:
+        """The share of each text's positions, those of ASCII space and below aside, in runs of RUN or more that are surely
+        in one language; 1 for shorter texts, which show too little. Runs go on over the windows of a text."""
+        sizes = np.array([len(t) for t in texts], int)
+        begin = np.cumsum(sizes) - sizes
+        label = np.full(int(sizes.sum()), -2, np.int16)
+        none = self.languages.index(UNKNOWN) if UNKNOWN in self.languages else -1
+        for text, place, x, labels in self.read(texts):
+            best = labels.argmax(-1)
+            sure = (np.take_along_axis(labels, best[:, :, None], 2)[:, :, 0] >= SURE) & (best != none)
+            counted = (x > 32) & (x < 256)
+            label[(begin[text] + place)[counted]] = np.where(sure, best, -1)[counted]
+        at = np.flatnonzero(label > -2)
+        label, of = label[at], np.repeat(np.arange(len(texts)), sizes)[at]
+        first = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (of[1:] != of[:-1])][: len(label)])
+        length = np.diff(np.r_[first, len(label)])
+        total = np.bincount(of, minlength=len(texts))
+        good = (label[first] >= 0) & (length >= RUN)
+        inside = np.bincount(of[first], np.where(good, length, 0), len(texts))
+        return np.where(total < RUN, 1.0, inside / np.maximum(total, 1))
+
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text has a letter and enough of it is in languages; without languages letters are enough."""
+        kept = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+        if any(x != UNKNOWN for x in self.languages):
+            for group in grouped(np.flatnonzero(kept).tolist(), texts):
+                kept[group] = self.shares([texts[i].encode("utf-8", "replace") for i in group]) >= ENOUGH
+        return kept
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and probability of each text."""
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -182,6 +216,14 @@ class ByteNetwork:
         return lang, score
 
 
+def scrambled(part: bytes, rng: np.random.Generator) -> bytes:
+    """Noise: the bytes of a text in another order, or random letters in words of random lengths."""
+    if rng.integers(2):
+        return rng.permutation(np.frombuffer(part, np.uint8)).tobytes()
+    letters = rng.integers(97, 123, len(part)) - 32 * (rng.random(len(part)) < rng.choice([0, 0.1, 1]))
+    return np.where(rng.random(len(part)) < rng.choice([0, 0.15, 0.3]), 32, letters).astype(np.uint8).tobytes()
+
+
 def grouped(numbers: list[int], texts: list[str], chars: int = 2_000_000) -> Iterator[list[int]]:
     group, held = [], 0
     for i in numbers:
@@ -194,8 +236,9 @@ def grouped(numbers: list[int], texts: list[str], chars: int = 2_000_000) -> Ite
         yield group
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
-    """A network fitted on at most `sample` documents that may be learned from, spread over the languages."""
+def train(docs: DataFrame, sample: int = SAMPLE, noise: bool = False) -> ByteNetwork:
+    """A network fitted on at most `sample` documents that may be learned from, spread over the languages; with `noise`
+    scrambled ones of them are learned as no language."""
     known = docs.select("doc_id", "text", "lang").where(is_learned(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
@@ -211,7 +254,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
     rows = sorted(r for r in rows if r["text"])  # one order, whatever came first
     languages = [x for x in languages if any(r["lang"] == x for r in rows)]
     number = {x: k for k, x in enumerate(languages)}
-    network = ByteNetwork(languages)
+    network = ByteNetwork(languages + [UNKNOWN] * (noise and languages != [] and UNKNOWN not in languages))
     if languages:
         network.fit([r["text"].encode("utf-8", "replace") for r in rows], np.array([number[r["lang"]] for r in rows]))
     return network
@@ -236,8 +279,12 @@ def identify(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
-def keep_known(docs: DataFrame, sure: float = SURE, network: ByteNetwork | None = None) -> DataFrame:
-    """The columns of docs; documents without a letter go, and those whose probability is below `sure`."""
-    predicted = predictor(docs, network or train(docs))
-    rows = docs.withColumn("__language", predicted(docs["text"]))
-    return rows.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= sure)).drop("__language")
+def keep_known(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
+    """The columns of docs; documents without a letter go, and those of which too little is surely in a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(network or train(docs, noise=True))
+
+    @pandas_udf(BooleanType())
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.known(texts.tolist()))
+
+    return docs.where(known(docs["text"]))

@@ -73,6 +73,22 @@ def test_language_of_odd_rows(spark, odd, network):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_kept_is_what_lies_in_languages(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, w), name) for i, (w, name) in enumerate(100 * [(EN, "en"), (DE, "de")])]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), noise=True)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    several = " ".join(text(rng, w, 12) for _ in range(5) for w in (EN, DE))
+    texts = [text(rng, EN, 300), text(rng, DE, 20), several, several + noise[:100], "x", noise, noise[:60], "xqzjkwvbpf" * 40, "12 34 !", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in language.keep_known(docs, network=net).collect()) == [0, 1, 2, 3, 4]
+    # Nothing is learned from rows without a language: every text with a letter stays.
+    assert sorted(r.doc_id for r in language.keep_known(docs).collect()) == list(range(8))
+    # Runs go on over windows, and a text's share does not hang on the texts beside it.
+    alone = [net.shares([t.encode()])[0] for t in texts[:4]]
+    assert np.allclose(net.shares([t.encode() for t in texts[:4]]), alone, atol=0.02)
+
+
 BAD = ["scoundrel", "villainy", "rotten"]
 
 
