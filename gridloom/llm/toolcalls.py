@@ -7,8 +7,9 @@ result. Calls may name others that they come after; depths along these names ord
 Arguments are checked against schemas, and everything is written as canonical JSON: sorted keys, no white space, numbers
 in one form.
 
-The result has a row for each message and one for each call, with the places that order a conversation: sort by
-(anchor, depth, slot, turn). A conversation is never gathered into one row or task, however long it is.
+The result has a row for each message that is no result and says something beside its calls or makes none, one for each
+call and one for each result, with the places that order a conversation: sort by (anchor, depth, slot, turn). A
+conversation is never gathered into one row or task, however long it is.
 
 Edge cases: text that is no JSON object, or none of these, is plain content; a null text is null content; null ids and
 turns stay null and link nothing; a result without a call has `linked` false and keeps its own turn; arguments that are
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut
 
-CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
+CALLS = "content string, tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 RESULT = "tool_call_id string, content string"
 #: What Spark calls the kinds of JSON values, by the name that schemas use.
 KINDS = {
@@ -90,7 +91,8 @@ def depths(calls: DataFrame) -> DataFrame:
 def link(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, kind, call_id, anchor, depth, slot, linked, problems, json): a row for each message and each call."""
     rows = messages.select("conv_id", "turn", "role", "text")
-    made = F.when(F.col("role") == "assistant", F.from_json("text", CALLS)["tool_calls"])
+    said = F.when(F.col("role") == "assistant", F.from_json("text", CALLS))
+    made = said["tool_calls"]
     got = F.when(F.col("role") == "tool", F.from_json("text", RESULT))
     nth = lambda *order: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
     calls = rows.select("conv_id", "turn", F.posexplode(made).alias("slot", "c")).select(
@@ -117,10 +119,12 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFra
         F.col("asked_at").isNotNull().alias("linked"), F.when(F.col("asked_at").isNull(), "no call").otherwise("").alias("problems"),
         written({"content": F.coalesce(canonical(F.col("content")), quoted("content")), "tool_call_id": quoted("call_id")}).alias("json"),
     )
-    plain = rows.where(made.isNull() & got["tool_call_id"].isNull()).select(
+    # What a message says beside its calls is its content; one that only calls is whole in its call rows.
+    spoken = rows.where(got["tool_call_id"].isNull() & (made.isNull() | (F.size(made) == 0) | said["content"].isNotNull()))
+    plain = spoken.withColumn("content", F.when(made.isNull(), F.col("text")).otherwise(said["content"])).select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("anchor"), F.lit(0).alias("depth"),
         F.lit(-1).cast("long").alias("slot"), F.lit(True).alias("linked"), F.lit("").alias("problems"),
-        written({"content": quoted("text"), "role": quoted("role")}).alias("json"),
+        written({"content": quoted("content"), "role": quoted("role")}).alias("json"),
     )
     return plain.unionByName(call_rows).unionByName(result_rows)
 

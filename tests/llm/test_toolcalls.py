@@ -65,5 +65,20 @@ def test_canonical_json(linked):
     assert '{"arguments":{"n":2,"q":"x"},"id":"b","name":"find"}' in {r.json for r in linked}
 
 
+def test_what_is_said_beside_calls(spark):
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": "Let me \"look\"", "tool_calls": [call("a", q="x")]})),
+        (1, 1, "assistant", json.dumps({"content": "done", "tool_calls": []})),
+        (1, 2, "assistant", json.dumps({"tool_calls": []})),
+        (1, 3, "assistant", json.dumps({"content": None, "tool_calls": [call("b", q="x")]})),
+        (1, 4, "tool", result("a", "found")),
+    ]
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    said = {r.turn: json.loads(r.json) for r in got if r.kind == "message"}
+    assert said == {t: {"content": c, "role": "assistant"} for t, c in ((0, "Let me \"look\""), (1, "done"), (2, None))}
+    assert sorted((r.turn, r.kind) for r in got if r.kind != "message") == [(0, "call"), (3, "call"), (4, "result")]
+    assert [r.turn for r in sorted(got, key=lambda r: (r.anchor, r.depth, r.slot, r.turn))] == [0, 0, 4, 1, 2, 3]
+
+
 def test_empty_table(spark):
     assert toolcalls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
