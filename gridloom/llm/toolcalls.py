@@ -24,7 +24,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, partitions
 
 CALLS = "content string, tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 RESULT = "tool_call_id string, content string"
@@ -33,7 +33,6 @@ KINDS = {
     "string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$",
     "object": "^OBJECT.*", "array": "^ARRAY.*", "null": "^VOID$",
 }
-ROUNDS = 50
 
 
 def canonical(text: Column) -> Column:
@@ -69,22 +68,26 @@ def problems(calls: DataFrame, schemas: dict[str, dict]) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth) of calls that come after others; a call on or behind a cycle has depth null."""
+    """(conv_id, call_id, depth) of calls with an identifier; a call on or behind a cycle has depth null.
+
+    There are as many rounds as the longest chain has calls. Placed calls leave the pending edges.
+    """
     named = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).where("call_id IS NOT NULL").distinct()
     edges = cut(edges.join(named.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi"))
+    current = named.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0))
     if not edges.limit(1).count():
-        return edges.select("conv_id", "call_id", F.lit(0).alias("depth"))
-    current = cut(named.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)))
-    for _ in range(ROUNDS):
+        return current
+    current, most = cut(current), partitions(calls.sparkSession)
+    while True:
         # A call is placed once all that it comes after are.
         reached = edges.join(current.select("conv_id", F.col("call_id").alias("before"), "depth"), ["conv_id", "before"], "left")
         ready = reached.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("depth").alias("placed"), F.max("depth").alias("depth"))
-        fresh = ready.where("n = placed").select("conv_id", "call_id", (F.col("depth") + 1).alias("depth"))
-        fresh = cut(fresh.join(current, ["conv_id", "call_id"], "left_anti"))
+        fresh = cut(ready.where("n = placed").select("conv_id", "call_id", (F.col("depth") + 1).alias("depth")))
         if not fresh.limit(1).count():
             break
-        current = cut(current.unionByName(fresh))
+        edges = cut(edges.join(fresh, ["conv_id", "call_id"], "left_anti").coalesce(most))
+        current = cut(current.unionByName(fresh).coalesce(most))
     return named.join(current, ["conv_id", "call_id"], "left")
 
 

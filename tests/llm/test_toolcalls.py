@@ -80,5 +80,15 @@ def test_what_is_said_beside_calls(spark):
     assert [r.turn for r in sorted(got, key=lambda r: (r.anchor, r.depth, r.slot, r.turn))] == [0, 0, 4, 1, 2, 3]
 
 
+def test_depths_of_long_chains_and_unknown_names(spark):
+    made = [call(f"c{i}", q="x", after=[f"c{i - 1}"] if i else None) for i in range(60)]
+    rows = [(1, 0, "assistant", calls(*made)), (2, 0, "assistant", calls(call("a", q="x", after=["gone"]), call("b", q="x")))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    depth = lambda f: {(r.conv_id, r.call_id): r.depth for r in toolcalls.link(f, SCHEMAS).collect() if r.kind == "call"}
+    unknown = {(2, "a"): 0, (2, "b"): 0}
+    assert depth(frame) == {(1, f"c{i}"): i for i in range(60)} | unknown
+    assert depth(frame.where("conv_id = 2")) == unknown
+
+
 def test_empty_table(spark):
     assert toolcalls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
