@@ -3,7 +3,8 @@
 A character language model counts trigrams over all documents. A token that may be disguised (leetspeak, separators
 between letters, stretched letters, letters apart) is a lattice: each character can stand for itself, for what it is
 used to imitate, or for nothing. The Viterbi path under channel costs and language model restores it; a token without
-such characters has one path, itself. Words and word beginnings of restored text that occur far more often in toxic
+such characters has one path, itself. Marks and runs at a token's ends are dropped in one reading and read in another.
+Neighbouring tokens are joined where that makes a word of evidence at a price. Words and word beginnings of restored text that occur far more often in toxic
 than in other documents of a bounded labelled sample are evidence, and a logistic curve fitted on the same sample turns
 a document's evidence into a score.
 
@@ -38,15 +39,20 @@ IMITATES = {
     "*": "aeiou",
 }
 SEPARATORS = " .-_*~'^`,:;/\\"
-#: Costs in nats: an imitation, a wildcard, a dropped separator, a kept symbol, a kept space.
-IMITATION, WILDCARD, DROPPED, KEPT, SPACE = 0.5, 1.5, 0.2, 6.0, 4.0
-#: A letter that repeats its predecessor, kept or dropped: the second of two, the second of more, and further ones.
+#: Costs in nats: an imitation, a wildcard, a dropped separator, a kept symbol, a kept space, a space dropped by a join.
+IMITATION, WILDCARD, DROPPED, KEPT, SPACE, JOIN = 0.5, 1.5, 0.2, 6.0, 4.0, 1.0
+#: Tokens that are joined, at most: plain ones, and ones of which some are disguised, with so many characters together.
+PLAIN_JOIN, ODD_JOIN, ODD_LENGTH = 4, 3, 16
+#: A letter, or what imitates one, that repeats its predecessor, kept or dropped: the second of two, the second of more, and further ones.
 REPEATS = {"pair": (0.0, 2.0), "second": (2.0, 0.0), "further": (9.0, 0.0)}
 OPENING = "\"'([{<«„“”‘’¿.,;:?"
 CLOSING = "\"')]}>»„“”‘’….,;:?!"
 EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
+#: What no letter, digit or imitation is, at the ends of a token.
+ENDS = "".join(c for c in OPENING + CLOSING if c not in IMITATES)
+SIGNS = re.compile("[" + re.escape("".join(IMITATES) + SEPARATORS) + "]+")
 SIGN = re.compile("[" + re.escape("".join(IMITATES) + SEPARATORS) + "]")
 #: Symbols of the language model: 0 for what is no letter, a to z, 27 for any other letter.
 SYMBOLS = 28
@@ -101,17 +107,19 @@ class Channel:
         """(symbol, cost) of what the character at i may stand for; symbol -1 is nothing."""
         c = token[i]
         symbol = int(_class[min(ord(c), 0x3000)])
-        if symbol:
+        keep, drop = 0.0, None
+        if i and token[i - 1] == c and (symbol or c in IMITATES):
             begin, end = i, i + 1
             while begin and token[begin - 1] == c:
                 begin -= 1
             while end < len(token) and token[end] == c:
                 end += 1
-            if begin == i:
-                return [(symbol, 0.0)]
             keep, drop = REPEATS["pair" if end - begin == 2 else "second" if i == begin + 1 else "further"]
-            return [(symbol, keep), (-1, drop)]
-        found = [(ord(x) - 96, WILDCARD if c == "*" else IMITATION) for x in IMITATES.get(c, "")]
+        if symbol:
+            return [(symbol, keep)] if drop is None else [(symbol, keep), (-1, drop)]
+        found = [(ord(x) - 96, keep + (WILDCARD if c == "*" else IMITATION)) for x in IMITATES.get(c, "")]
+        if drop is not None and c not in SEPARATORS:
+            found.append((-1, drop))
         if c in SEPARATORS:
             found.append((-1, WILDCARD if c == "*" else DROPPED))
         return [*found, (0, SPACE if c == " " else KEPT)]
@@ -130,6 +138,11 @@ class Channel:
                 out[i] = text
         return out
 
+    def price(self, text: str) -> float:
+        """Of a text between spaces under the model, in nats."""
+        s = np.r_[0, 0, symbols(text), 0]
+        return -float(self.lm[s[:-2], s[1:-1], s[2:]].sum())
+
     def block(self, tokens: list[str]) -> list[str]:
         b, length = len(tokens), max(map(len, tokens), default=0)
         lanes = np.arange(b)
@@ -186,10 +199,17 @@ def disguised(bare: str) -> bool:
     """Whether a stripped token in lower case has more than one path that matters."""
     if bare.isalpha():
         return bool(STRETCHED.search(bare))
-    return len(bare) > 2 and any(map(str.isalpha, bare)) and bool(SIGN.search(bare) or STRETCHED.search(bare))
+    return len(bare) > 2 and bool(SIGN.search(bare) or STRETCHED.search(bare)) and (any(map(str.isalpha, bare)) or bool(SIGNS.fullmatch(bare)))
+
+
+def whole(words: list[str]) -> list[str]:
+    """Words of which only the whole is evidence: tokens without a letter and joined ones are often read by chance."""
+    return ["=" + w for w in words]
 
 
 def features(word: str) -> list[str]:
+    if word.startswith("="):
+        return [word] if len(word) > 3 else []
     return [f"={word}", *(f"^{word[:n]}" for n in (4, 5) if len(word) > n)] if len(word) > 2 else []
 
 
@@ -198,6 +218,8 @@ class Scorer:
 
     def __init__(self, channel: Channel, weights: dict[str, float] | None = None, curve: tuple[float, ...] = ()):
         self.channel, self.weights, self.curve = channel, weights or {}, curve
+        self.words = frozenset(f[1:] for f in self.weights if f[0] == "=")
+        self.ends = {w[0] for w in self.words}, {w[-1] for w in self.words}
         self.memory: dict[str, object] = {}
 
     def __getstate__(self):
@@ -214,15 +236,47 @@ class Scorer:
             tokens += APART.findall(" ".join(tokens))
         return tokens
 
+    def joined(self, texts: list[str]) -> list[list[str]]:
+        """For each text the words of evidence that neighbouring tokens make, where these are likelier than the tokens at
+        the price of the spaces."""
+        if not self.words:
+            return [[] for _ in texts]
+        found, odd = [], []
+        for text in texts:
+            bare = [t.strip(ENDS) for t in text.lower().split()]
+            found.append([(w, x) for n in range(2, PLAIN_JOIN + 1) for x in set(zip(*[bare[k:] for k in range(n)])) if (w := "".join(x)) in self.words])
+            signed = [i for i, t in enumerate(bare) if not t.isalpha() and len(t) < ODD_LENGTH and SIGN.search(t)]
+            windows = {tuple(bare[j : j + n]) for i in signed for n in range(2, ODD_JOIN + 1) for j in range(max(0, i - n + 1), min(i, len(bare) - n) + 1)}
+            odd.append([x for x in windows if self.may_join(x)])
+        distinct = list({x: 1 for windows in odd for x in windows})
+        read = dict(zip(distinct, self.channel.restore(["".join(x) for x in distinct]), strict=True))
+        for own, windows in zip(found, odd, strict=True):
+            own += [(read[x], tuple(self.channel.restore(list(x)))) for x in windows if read[x] in self.words]
+        price = self.channel.price
+        return [[w for w, x in own if price(w) + JOIN * (len(x) - 1) < price(" ".join(x))] for own in found]
+
+    def may_join(self, window: tuple[str, ...]) -> bool:
+        """Whether tokens, some of them disguised, can make a word of evidence by their characters and both ends."""
+        if sum(map(len, window)) > ODD_LENGTH or not all(t and (t.isalpha() or SIGN.search(t)) for t in window):
+            return False
+        for c, ends in ((window[0][0], self.ends[0]), (window[-1][-1], self.ends[1])):
+            if c not in SEPARATORS and ends.isdisjoint(IMITATES.get(c, c)):
+                return False
+        return any(c.isalpha() for t in window for c in t)
+
     def learn(self, tokens: set[str], value) -> None:
         """Restores new tokens, all disguised ones together, and keeps what value() makes of their words."""
         new = [t for t in tokens if t not in self.memory]
         bare = [stripped(t) for t in new]
-        odd = [i for i, t in enumerate(bare) if disguised(t)]
-        read = dict(zip(odd, self.channel.restore([bare[i] for i in odd]), strict=True))
-        for i, (token, plain) in enumerate(zip(new, bare, strict=True)):
+        ends = [t.strip(ENDS) for t in new]
+        asked = [list({x: 1 for x in pair if disguised(x)}) for pair in zip(bare, ends, strict=True)]
+        distinct = list({x: 1 for xs in asked for x in xs})
+        read = dict(zip(distinct, self.channel.restore(distinct), strict=True))
+        for token, plain, xs in zip(new, bare, asked, strict=True):
             words = [plain] if plain.isalpha() else [w for w in re.split(r"[\W\d_]+", plain) if w]
-            self.memory[token] = value(words + read[i].split() if i in read else words)
+            for x in xs:
+                words += read[x].split() if any(map(str.isalpha, x)) else whole(read[x].split())
+            self.memory[token] = value(words)
 
     def look_up(self, texts: list[str | None], value) -> list[list]:
         """value() of the distinct tokens of each text."""
@@ -238,8 +292,8 @@ class Scorer:
         """The strongest weight in each text, and the logarithm of one more than the number of tokens with any."""
         out = []
         for group in grouped(texts):
-            for values in self.look_up(group, self.value):
-                hits = [v for v in values if v]
+            for values, words in zip(self.look_up(group, self.value), self.joined([t or "" for t in group]), strict=True):
+                hits = [v for v in (*values, *(self.value(whole([w])) for w in words)) if v]
                 out.append((max(hits, default=0.0), np.log1p(len(hits))))
         return np.array(out).reshape(-1, 2)
 
@@ -255,7 +309,10 @@ class Scorer:
             return text
 
         def read(found: re.Match) -> str:
-            bare = stripped(found[0])
+            bare, ends = stripped(found[0]), found[0].strip(ENDS)
+            # Marks at the ends are read only where that makes a word of evidence.
+            if ends != bare and disguised(ends) and self.channel.restore([ends])[0] in self.words:
+                bare = ends
             return found[0].replace(bare, self.channel.restore([bare])[0]) if disguised(bare) else found[0]
 
         return re.sub(r"\S+", read, APART.sub(lambda m: self.channel.restore([m[0]])[0], text.lower()))

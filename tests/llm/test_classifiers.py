@@ -120,6 +120,23 @@ def test_disguised_words_are_read_and_scored(spark, corpus):
     assert kept.columns == docs.columns and kept.join(labels, "doc_id").where("toxic = 1").count() == 0
 
 
+def test_spaces_repeats_and_ends_are_in_the_lattice(spark, corpus):
+    scorer = toxicity.train(*corpus)
+    spaced = ["you scoun drel now", "a villa iny.", "sc oun drel", "you sc0un drel", "the rot ten one"]
+    repeated = ["you sc000undrel", "a r00000tten one", "v1111lla1ny"]
+    ends = ["a $coundrel", "that ro++en", "you $$coundrel!", "you scoundre|"]
+    signs = ["you 5(0|_|nd23l or r0++3n"]
+    letterless = toxicity.Scorer(scorer.channel, {"=that": 5.0})
+    assert scorer.scores(spaced).min() >= 0.5, scorer.scores(spaced)
+    assert scorer.scores(repeated).min() >= 0.5, scorer.scores(repeated)
+    assert scorer.scores(ends).min() >= 0.5, scorer.scores(ends)
+    assert scorer.scores(signs).min() >= 0.5, scorer.scores(signs)
+    assert letterless.evidence(["say 7#47"])[0, 0] == 5.0 and letterless.evidence(["2024 555-7209"])[0, 0] == 0
+    clean = ["the people look good", "call 555-7209 for 1000000 good people", "(look) over there!!!", "time 12:30, $$$ 100%", "I am at 10 to 4"]
+    assert scorer.scores(clean).max() < 0.5, scorer.scores(clean)
+    assert scorer.restored("a $coundrel, (the) good!!") == "a scoundrel, (the) good!!"
+
+
 def test_toxicity_of_odd_rows(spark, odd, corpus):
     none = corpus[1].where(F.lit(False))
     got = toxicity.score(odd, none).collect()
