@@ -64,7 +64,7 @@ def divide(a: SparseMatrix, b: SparseMatrix) -> SparseMatrix:
     return SparseMatrix(a.shape, a.major, cells=joined.select("i", "j", value.alias("v")))
 
 
-def with_dense(a: SparseMatrix, table: DataFrame, sign: int = 1, most: int = 10_000_000) -> DataFrame:
+def with_dense(a: SparseMatrix, table: DataFrame, sign: int = 1, most: int | None = None) -> DataFrame:
     """(i, j, v) of every cell: a dense table (i, j, x) plus sign times a. The table has a row for each cell."""
     every = dense(a.spark, a.shape, most)
     filled = every.join(table, ["i", "j"]).join(a.cells, ["i", "j"], "left")

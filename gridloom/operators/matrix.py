@@ -117,8 +117,8 @@ class SparseMatrix:
             raise ValueError("a place is stored twice")
         return self
 
-    def toarray(self, rows: slice = slice(None), cols: slice = slice(None), most: int = 10_000_000) -> DataFrame:
-        """(i, j, v) with every cell of a window; windows above `most` cells are refused."""
+    def toarray(self, rows: slice = slice(None), cols: slice = slice(None), most: int | None = None) -> DataFrame:
+        """(i, j, v) with every cell of a window, or of the whole; above `most` cells, if given, it is refused."""
         window = self.select(rows, cols)
         return dense(self.spark, window.shape, most).join(window.cells, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
@@ -280,10 +280,16 @@ class SparseMatrix:
         return self._filled(axis, self._per(axis, by_group, by_cell), [with_zero(self.shape[axis])])
 
 
-def dense(spark: SparkSession, shape: tuple[int, int], most: int) -> DataFrame:
-    """(i, j) for every cell of a window."""
-    if shape[0] * shape[1] > most:
+#: Cells that a task makes of a dense result, about.
+TASK_CELLS = 2_000_000
+
+
+def dense(spark: SparkSession, shape: tuple[int, int], most: int | None = None) -> DataFrame:
+    """(i, j) for every cell of a window, made by blocks of rows on the executors."""
+    if most is not None and shape[0] * shape[1] > most:
         raise ValueError(f"{shape[0]} x {shape[1]} cells are more than {most}")
     if not shape[0] * shape[1]:
         return spark.range(0).select(F.col("id").alias("i"), F.col("id").alias("j"))
-    return spark.range(shape[0]).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[1] - 1).cast("long"))).alias("j"))
+    width = F.lit(shape[1]).cast("long")
+    blocks = max(spark.sparkContext.defaultParallelism, -(-shape[0] * shape[1] // TASK_CELLS))
+    return spark.range(0, shape[0] * shape[1], 1, blocks).select(F.expr(f"id div {shape[1]}L").alias("i"), F.pmod("id", width).alias("j"))

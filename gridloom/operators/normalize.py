@@ -71,7 +71,7 @@ class Normalized:
         sums = self.delta.groupBy("j").agg(F.sum("d").alias("d"))
         return self.matrix._filled(0, sums, [(F.coalesce("d", F.lit(0.0)) / F.lit(float(max(1, self.shape[0])))).alias("m")])
 
-    def window(self, rows=slice(None), cols=slice(None), most: int = 10_000_000) -> DataFrame:
+    def window(self, rows=slice(None), cols=slice(None), most: int | None = None) -> DataFrame:
         """(i, j, v) of every cell of a window; the statistics stay those of the whole matrix."""
         picked = SparseMatrix(self.shape, cells=self.delta.withColumnRenamed("d", "v")).select(rows, cols)
         means = SparseMatrix((1, self.shape[1]), cells=self.col_mean.select(F.lit(0).cast("long").alias("i"), "j", F.col("m").alias("v"))).select(slice(None), cols)

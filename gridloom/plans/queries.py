@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import codec
 from gridloom.operators import elementwise, product
-from gridloom.operators.matrix import SparseMatrix
+from gridloom.operators.matrix import SparseMatrix, dense
 from gridloom.operators.normalize import Normalized
 from gridloom.plans.prepare import prepare
 from gridloom.sources import tables
@@ -109,6 +109,14 @@ def vcs_toarray(spark, d):
     return tables.supply(spark, d).toarray(slice(0, 10), slice(0, 40))
 
 
+SUPPLIERS, PARTS = "(SELECT count(*) FROM supplier)", "(SELECT count(*) FROM part)"
+
+
+@query(f"WITH {SUPPLY} SELECT a.i, b.j, coalesce(v, 0) AS v FROM (SELECT range AS i FROM range({SUPPLIERS})) a CROSS JOIN (SELECT range AS j FROM range({PARTS})) b LEFT JOIN supply s ON s.i = a.i AND s.j = b.j")
+def vcs_toarray_whole(spark, d):
+    return tables.supply(spark, d).toarray()
+
+
 # Numbers on stored values
 
 for _name, _change, _sql in (
@@ -225,6 +233,30 @@ def multiply_dense(spark, d):
     return elementwise.multiply_dense(*window(spark, d)).cells
 
 
+def whole(spark, d):
+    """The supply matrix, and a dense table of its shape."""
+    m = tables.supply(spark, d)
+    return m, dense(spark, m.shape).withColumn("x", ((F.col("i") * m.shape[1] + F.col("j")) % 9).cast("double"))
+
+
+DENSE_WHOLE = f"dense AS (SELECT a.range AS i, b.range AS j, CAST((a.range * {PARTS} + b.range) % 9 AS DOUBLE) AS x FROM range({SUPPLIERS}) a CROSS JOIN range({PARTS}) b)"
+
+
+@query(f"WITH {SUPPLY}, {DENSE_WHOLE} SELECT i, j, x + coalesce(v, 0) AS v FROM dense LEFT JOIN supply USING (i, j)")
+def add_dense_whole(spark, d):
+    return elementwise.with_dense(*whole(spark, d))
+
+
+@query(f"WITH {SUPPLY}, {DENSE_WHOLE} SELECT i, j, x - coalesce(v, 0) AS v FROM dense LEFT JOIN supply USING (i, j)")
+def rsub_dense_whole(spark, d):
+    return elementwise.with_dense(*whole(spark, d), sign=-1)
+
+
+@query(f"WITH {SUPPLY}, {DENSE_WHOLE} SELECT i, j, x * v AS v FROM dense JOIN supply USING (i, j)")
+def multiply_dense_whole(spark, d):
+    return elementwise.multiply_dense(*whole(spark, d)).cells
+
+
 @query(f"WITH {SUPPLY} SELECT s.i, s.j, s.v * t.v AS v FROM supply s JOIN supply t ON t.i = 0 AND t.j = s.j")
 def multiply_one_row(spark, d):
     m = tables.supply(spark, d)
@@ -334,6 +366,11 @@ def norm_toarray(spark, d):
     return rounded(view(spark, d).toarray(slice(0, 20), slice(0, 30)))
 
 
+@query(VIEW + "SELECT a.range AS i, cm.j, round(coalesce(d, 0) - m, 6) AS v FROM range((SELECT count(*) FROM orders)) a CROSS JOIN cm LEFT JOIN dl ON dl.i = a.range AND dl.j = cm.j")
+def norm_toarray_whole(spark, d):
+    return rounded(view(spark, d).toarray())
+
+
 @query(VIEW + "SELECT a.range AS i, b.range AS j, round(coalesce(d, 0) - m, 6) AS v FROM range(25) a CROSS JOIN range(40) b JOIN cm ON cm.j = 20 + b.range LEFT JOIN dl ON dl.i = 10 + 2 * a.range AND dl.j = 20 + b.range")
 def norm_window(spark, d):
     return rounded(view(spark, d)[10:60:2, 20:60])
