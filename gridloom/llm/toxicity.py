@@ -16,6 +16,7 @@ input are not read (`score`) or come back as they are (`keep_clean`).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,9 @@ CLOSING = "\"')]}>»„“”‘’….,;:?!"
 EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
+RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Characters of a long token that are read at a time, and of its neighbours on either side.
+PART, BESIDE = 64, 16
 #: What no letter, digit or imitation is, at the ends of a token.
 ENDS = "".join(c for c in OPENING + CLOSING if c not in IMITATES)
 SIGNS = re.compile("[" + re.escape("".join(IMITATES) + SEPARATORS) + "]+")
@@ -100,21 +104,18 @@ class Channel:
         three = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
         two = three.sum(0)
         lower = (two + 0.5) / (two.sum(1, keepdims=True) + 0.5 * SYMBOLS)
-        self.lm = np.log((three + 5 * lower[None]) / (three.sum(2, keepdims=True) + 5)).astype(np.float32)
+        self.lm = np.log((three + 5 * lower[None]) / (three.sum(2, keepdims=True) + 5))
+        self.flat = self.lm.ravel().tolist()
 
     @staticmethod
     def options(token: str, i: int) -> list[tuple[int, float]]:
-        """(symbol, cost) of what the character at i may stand for; symbol -1 is nothing."""
+        """(symbol, cost) of what the character at i may stand for; symbol -1 is nothing. Runs are at most three long."""
         c = token[i]
         symbol = int(_class[min(ord(c), 0x3000)])
         keep, drop = 0.0, None
         if i and token[i - 1] == c and (symbol or c in IMITATES):
-            begin, end = i, i + 1
-            while begin and token[begin - 1] == c:
-                begin -= 1
-            while end < len(token) and token[end] == c:
-                end += 1
-            keep, drop = REPEATS["pair" if end - begin == 2 else "second" if i == begin + 1 else "further"]
+            second = i < 2 or token[i - 2] != c
+            keep, drop = REPEATS["further" if not second else "second" if token[i + 1 : i + 2] == c else "pair"]
         if symbol:
             return [(symbol, keep)] if drop is None else [(symbol, keep), (-1, drop)]
         found = [(ord(x) - 96, keep + (WILDCARD if c == "*" else IMITATION)) for x in IMITATES.get(c, "")]
@@ -126,68 +127,50 @@ class Channel:
 
     def restore(self, tokens: list[str]) -> list[str]:
         """The best reading of each token, words apart by single spaces; tokens are in lower case."""
-        out = [""] * len(tokens)
-        order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
-        while order:
-            n = max(1, min(len(order), 16_000 // (len(tokens[order[0]]) + 8)))
-            part, order = order[:n], order[n:]
-            # Tokens of one block are nearly of one length; the longest decides how many fit.
-            while len(part) > 1 and len(part) * len(tokens[part[-1]]) > 32_000:
-                order.insert(0, part.pop())
-            for i, text in zip(part, self.block([tokens[i] for i in part]), strict=True):
-                out[i] = text
-        return out
+        return [" ".join("".join(c for part in self.parts(t) for c in self.path(*part)).split()) for t in map(shortened, tokens)]
+
+    @staticmethod
+    def parts(token: str) -> list[tuple[str, int, int]]:
+        """(part, begin, end): a long token is read in parts, each with some characters of its neighbours beside it."""
+        return [
+            (token[max(0, i - BESIDE) : i + PART + BESIDE], min(i, BESIDE), min(i, BESIDE) + PART) for i in range(0, max(1, len(token)), PART)
+        ]
 
     def price(self, text: str) -> float:
         """Of a text between spaces under the model, in nats."""
         s = np.r_[0, 0, symbols(text), 0]
         return -float(self.lm[s[:-2], s[1:-1], s[2:]].sum())
 
-    def block(self, tokens: list[str]) -> list[str]:
-        b, length = len(tokens), max(map(len, tokens), default=0)
-        lanes = np.arange(b)
-        scores = np.full((b, SYMBOLS, SYMBOLS), -np.inf, np.float32)
-        scores[:, 0, 0] = 0
-        taken, before = [], []
-        for t in range(length + 1):
-            lists = [self.options(x, t) if t < len(x) else [(0, 0.0)] if t == len(x) else [(-1, 0.0)] for x in tokens]
-            new = np.full_like(scores, -np.inf)
-            # -1: nothing was written, and the symbol before the last is as it was.
-            how, where = np.full(scores.shape, -1, np.int8), np.zeros(scores.shape, np.int8)
-            for k in range(max(map(len, lists))):
-                rows = np.array([i for i, x in enumerate(lists) if len(x) > k])
-                symbol = np.array([lists[i][k][0] for i in rows])
-                cost = np.array([lists[i][k][1] for i in rows], np.float32)
-                none = symbol < 0
-                if none.any():
-                    r = rows[none]
-                    value = scores[r] - cost[none, None, None]
-                    better = value > new[r]
-                    new[r] = np.where(better, value, new[r])
-                    how[r] = np.where(better, -1, how[r])
-                r, s = rows[~none], symbol[~none]
-                if len(r):
-                    value = scores[r] + self.lm[:, :, s].transpose(2, 0, 1)
-                    best = value.argmax(1)
-                    value = np.take_along_axis(value, best[:, None], 1)[:, 0] - cost[~none, None]
-                    better = value > new[r, :, s]
-                    new[r, :, s] = np.where(better, value, new[r, :, s])
-                    how[r, :, s] = np.where(better, s[:, None], how[r, :, s])
-                    where[r, :, s] = np.where(better, best, where[r, :, s])
-            scores = new
-            taken.append(how)
-            before.append(where)
-        last = scores.reshape(b, -1).argmax(1)
-        p, q = last // SYMBOLS, last % SYMBOLS
-        written: list[list[str]] = [[] for _ in tokens]
-        for t in range(length, -1, -1):
-            how, back = taken[t][lanes, p, q], before[t][lanes, p, q]
-            for i in np.flatnonzero(how >= 0).tolist():
-                s = int(how[i])
-                token = tokens[i]
-                written[i].append(chr(96 + s) if 0 < s < 27 else token[t] if s == 27 and t < len(token) else " ")
-            p, q = np.where(how >= 0, back, p), np.where(how >= 0, p, q)
-        return [" ".join("".join(reversed(w)).split()) for w in written]
+    def path(self, token: str, begin: int = 0, end: int = PART) -> list[str]:
+        """What the characters from begin to end write on the Viterbi path through the lattice of a token.
+
+        A state is the last two symbols written; there are as many as the last characters can have written.
+        """
+        lm, states = self.flat, {0: (0.0, None)}
+        for t in range(len(token) + 1):
+            options = self.options(token, t) if t < len(token) else [(0, 0.0)]
+            new: dict[int, tuple] = {}
+            for state, (score, written) in states.items():
+                below = state % SYMBOLS * SYMBOLS
+                for symbol, cost in options:
+                    if symbol < 0:
+                        key, value = state, score - cost
+                    else:
+                        key, value = below + symbol, score - cost + lm[state * SYMBOLS + symbol]
+                    if key not in new or value > new[key][0]:
+                        new[key] = (value, written if symbol < 0 else (written, t, symbol))
+            states = new
+        written, out = max(states.values(), key=lambda x: x[0])[1], []
+        while written:
+            written, t, s = written
+            if begin <= t < end and t < len(token):
+                out.append(chr(96 + s) if 0 < s < 27 else token[t] if s == 27 else " ")
+        return out[::-1]
+
+
+def shortened(token: str) -> str:
+    """Runs of one character are three long at most: further ones are always dropped."""
+    return RUN.sub(r"\1\1\1", token)
 
 
 def stripped(token: str) -> str:
@@ -219,83 +202,99 @@ class Scorer:
     def __init__(self, channel: Channel, weights: dict[str, float] | None = None, curve: tuple[float, ...] = ()):
         self.channel, self.weights, self.curve = channel, weights or {}, curve
         self.words = frozenset(f[1:] for f in self.weights if f[0] == "=")
-        self.ends = {w[0] for w in self.words}, {w[-1] for w in self.words}
+        self.prefixes = frozenset(w[:n] for w in self.words for n in range(len(w) + 1))
+        heads = {f[1:] for f in self.weights}
+        self.heads, self.ahead = frozenset(heads), frozenset(w[:n] for w in heads for n in range(len(w) + 1))
+        self.forget()
+
+    def forget(self) -> None:
         self.memory: dict[str, object] = {}
+        self.bare: dict[str, str] = {}
+        self.starts: set[str] = set()
+        self.odd: set[str] = set()
 
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}}
+        return self.__dict__ | {"memory": {}, "bare": {}, "starts": set(), "odd": set()}
 
     def value(self, words: list[str]):
         return max((self.weights.get(f, 0.0) for w in words for f in features(w)), default=0.0)
 
     def parts(self, text: str) -> list[str]:
         """The tokens of a text, letters that stand apart joined into one."""
-        lower = text.lower()
-        tokens = lower.split()
+        tokens = text.lower().split()
         if sum(len(t) == 1 for t in tokens) > 2:
-            tokens += APART.findall(" ".join(tokens))
+            return tokens + APART.findall(" ".join(tokens))
         return tokens
 
-    def joined(self, texts: list[str]) -> list[list[str]]:
-        """For each text the words of evidence that neighbouring tokens make, where these are likelier than the tokens at
-        the price of the spaces."""
-        if not self.words:
-            return [[] for _ in texts]
-        found, odd = [], []
-        for text in texts:
-            bare = [t.strip(ENDS) for t in text.lower().split()]
-            found.append([(w, x) for n in range(2, PLAIN_JOIN + 1) for x in set(zip(*[bare[k:] for k in range(n)])) if (w := "".join(x)) in self.words])
-            signed = [i for i, t in enumerate(bare) if not t.isalpha() and len(t) < ODD_LENGTH and SIGN.search(t)]
-            windows = {tuple(bare[j : j + n]) for i in signed for n in range(2, ODD_JOIN + 1) for j in range(max(0, i - n + 1), min(i, len(bare) - n) + 1)}
-            odd.append([x for x in windows if self.may_join(x)])
-        distinct = list({x: 1 for windows in odd for x in windows})
-        read = dict(zip(distinct, self.channel.restore(["".join(x) for x in distinct]), strict=True))
-        for own, windows in zip(found, odd, strict=True):
-            own += [(read[x], tuple(self.channel.restore(list(x)))) for x in windows if read[x] in self.words]
-        price = self.channel.price
-        return [[w for w, x in own if price(w) + JOIN * (len(x) - 1) < price(" ".join(x))] for own in found]
+    def joined(self, tokens: list[str]) -> list[str]:
+        """The words of evidence that neighbouring tokens make, where these are likelier than the tokens at the price of
+        the spaces."""
+        found, bare, price = {}, self.bare, self.channel.price
+        if not self.starts.isdisjoint(tokens):
+            for i in [i for i, t in enumerate(tokens) if t in self.starts]:
+                word = bare[tokens[i]]
+                for n in range(2, PLAIN_JOIN + 1):
+                    if i + n > len(tokens) or (word := word + bare[tokens[i + n - 1]]) not in self.prefixes:
+                        break
+                    if word in self.words:
+                        found[tuple(bare[t] for t in tokens[i : i + n])] = word
+        if not self.odd.isdisjoint(tokens):
+            signed = [i for i, t in enumerate(tokens) if t in self.odd]
+            windows = {tuple(tokens[j : j + n]) for i in signed for n in range(2, ODD_JOIN + 1) for j in range(max(0, i - n + 1), min(i, len(tokens) - n) + 1)}
+            for window in windows:
+                own = tuple(bare[t] for t in window)
+                if self.may_join(own) and (word := self.channel.restore(["".join(own)])[0]) in self.words:
+                    found[tuple(self.channel.restore(list(own)))] = word
+        return [w for x, w in found.items() if price(w) + JOIN * (len(x) - 1) < price(" ".join(x))]
 
     def may_join(self, window: tuple[str, ...]) -> bool:
-        """Whether tokens, some of them disguised, can make a word of evidence by their characters and both ends."""
-        if sum(map(len, window)) > ODD_LENGTH or not all(t and (t.isalpha() or SIGN.search(t)) for t in window):
+        """Whether tokens, some of them disguised, can make a word of evidence."""
+        if sum(map(len, window)) > ODD_LENGTH or not all(window) or not any(c.isalpha() for t in window for c in t):
             return False
-        for c, ends in ((window[0][0], self.ends[0]), (window[-1][-1], self.ends[1])):
-            if c not in SEPARATORS and ends.isdisjoint(IMITATES.get(c, c)):
-                return False
-        return any(c.isalpha() for t in window for c in t)
-
-    def learn(self, tokens: set[str], value) -> None:
-        """Restores new tokens, all disguised ones together, and keeps what value() makes of their words."""
-        new = [t for t in tokens if t not in self.memory]
-        bare = [stripped(t) for t in new]
-        ends = [t.strip(ENDS) for t in new]
-        asked = [list({x: 1 for x in pair if disguised(x)}) for pair in zip(bare, ends, strict=True)]
-        distinct = list({x: 1 for xs in asked for x in xs})
-        read = dict(zip(distinct, self.channel.restore(distinct), strict=True))
-        for token, plain, xs in zip(new, bare, asked, strict=True):
+        return any(node in self.words for node in spelled("".join(window), self.prefixes))
+
+    def may_hit(self, token: str) -> bool:
+        """Whether some reading of a token has a word that is, or begins with, evidence."""
+        return any(not self.heads.isdisjoint(nodes) for nodes in begun(token, self.ahead))
+
+    def learn(self, tokens: set[str], value, everything: bool) -> None:
+        """Restores new tokens and keeps what value() makes of their words; unless everything is asked, only of those
+        with a reading that has evidence."""
+        for token in tokens:
+            if token in self.memory:
+                continue
+            plain, bare = stripped(token), token.strip(ENDS)
             words = [plain] if plain.isalpha() else [w for w in re.split(r"[\W\d_]+", plain) if w]
-            for x in xs:
-                words += read[x].split() if any(map(str.isalpha, x)) else whole(read[x].split())
+            for x in {plain: 1, bare: 1}:
+                if disguised(x) and (everything or self.may_hit(x)):
+                    words += self.channel.restore([x])[0].split() if any(map(str.isalpha, x)) else whole(self.channel.restore([x])[0].split())
             self.memory[token] = value(words)
-
-    def look_up(self, texts: list[str | None], value) -> list[list]:
-        """value() of the distinct tokens of each text."""
-        split = [set(self.parts(t)) if t else set() for t in texts]
-        everything = set().union(*split)
-        if len(self.memory) + len(everything) > MEMORY:
-            self.memory = {}
-        self.learn(everything, value)
+            self.bare[token] = bare
+            if bare in self.prefixes:
+                self.starts.add(token)
+            if not bare.isalpha() and len(bare) < ODD_LENGTH and SIGN.search(bare):
+                self.odd.add(token)
+
+    def look_up(self, texts: list[str | None], value, everything: bool = False) -> tuple[list[list], list[list[str]]]:
+        """value() of the distinct tokens of each text, and its tokens in order."""
+        split = [self.parts(t) if t else [] for t in texts]
+        distinct = [set(x) for x in split]
+        new = set().union(*distinct)
+        if len(self.memory) + len(new) > MEMORY:
+            self.forget()
+        self.learn(new, value, everything)
         get = self.memory.__getitem__
-        return [list(map(get, tokens)) for tokens in split]
+        return [list(map(get, tokens)) for tokens in distinct], split
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """The strongest weight in each text, and the logarithm of one more than the number of tokens with any."""
+        """The strongest weight in each text, the logarithm of one more than the number of tokens with any, and of one more
+        than the sum of their weights."""
         out = []
-        for group in grouped(texts):
-            for values, words in zip(self.look_up(group, self.value), self.joined([t or "" for t in group]), strict=True):
-                hits = [v for v in (*values, *(self.value(whole([w])) for w in words)) if v]
-                out.append((max(hits, default=0.0), np.log1p(len(hits))))
-        return np.array(out).reshape(-1, 2)
+        for group in grouped(texts, len0):
+            for values, tokens in zip(*self.look_up(group, self.value), strict=True):
+                hits = [v for v in (*values, *(self.value(whole([w])) for w in self.joined(tokens))) if v]
+                out.append((max(hits, default=0.0), np.log1p(len(hits)), np.log1p(sum(hits))))
+        return np.array(out).reshape(-1, 3)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.curve:
@@ -318,12 +317,43 @@ class Scorer:
         return re.sub(r"\S+", read, APART.sub(lambda m: self.channel.restore([m[0]])[0], text.lower()))
 
 
-def grouped(texts: list, chars: int = 4_000_000):
+def spelled(text: str, prefixes: frozenset[str]) -> set[str]:
+    """What a text may spell of words with these prefixes, each character being a letter, an imitation or nothing."""
+    nodes, last = {""}, ""
+    for c in text:
+        letters = c if c.isalpha() else IMITATES.get(c, "")
+        more = {n + x for n in nodes for x in letters if n + x in prefixes}
+        nodes = more | nodes if c in SEPARATORS or c == last else more
+        if not nodes:
+            break
+        last = c
+    return nodes
+
+
+def begun(token: str, prefixes: frozenset[str]) -> Iterator[set[str]]:
+    """All beginnings of words that a token may spell, from its start or from behind a sign, after each character."""
+    nodes, last = {""}, ""
+    for c in shortened(token):
+        letters = c if c.isalpha() else IMITATES.get(c, "")
+        more = {n + x for n in nodes for x in letters if n + x in prefixes}
+        nodes = more | nodes if c in SEPARATORS or c == last else more
+        if not c.isalpha():
+            nodes.add("")
+        yield nodes
+        last = c
+
+
+def len0(text: str | None) -> int:
+    return len(text or "")
+
+
+def grouped(rows: list, size, most: int = 4_000_000):
+    """Rows in groups of which all but the last reach `most` together."""
     group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t or "")
-        if held >= chars:
+    for x in rows:
+        group.append(x)
+        held += size(x)
+        if held >= most:
             yield group
             group, held = [], 0
     if group:
@@ -349,23 +379,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     n = known.count()
     if not n:
         return scorer
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < (1_000_000 if n <= sample else 950_000 * sample // n)).limit(sample)
-    drawn = F.broadcast(drawn.dropDuplicates(["doc_id"]))  # `sample` rows of two numbers at most
-    rows = cut(docs.select("doc_id", "text").where(F.length("text") > 0).join(drawn, "doc_id").select("text", "toxic").dropDuplicates(["text"]))
+    # Where ids or texts have several labels the greatest counts, whatever the order of rows.
+    place = F.xxhash64("doc_id", F.lit("toxic"))
+    drawn = known.where(F.pmod(place, F.lit(1_000_000)) < (1_000_000 if n <= sample else 1_100_000 * sample // n))
+    drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(place, "doc_id").limit(sample)
+    drawn = F.broadcast(drawn)  # `sample` rows of two numbers at most
+    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(drawn, "doc_id")
+    rows = cut(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
     shared = spark.sparkContext.broadcast(scorer)
 
     def found(batches):
+        own = shared.value
         for batch in batches:
-            texts, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-            pairs = []
-            for group in grouped(list(zip(texts, toxic, strict=True)), 1 << 40):
-                own = shared.value
-                own.memory = {}
-                values = own.look_up([t for t, _ in group], lambda words: [f for w in words for f in features(w)])
-                own.memory = {}
-                for lists, (_, y) in zip(values, group, strict=True):
-                    pairs += [(f, y) for f in {f for x in lists for f in x}]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32())], names=["feature", "toxic"])
+            for group in grouped(list(zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True)), lambda x: len(x[0])):
+                own.forget()
+                values, _ = own.look_up([t for t, _ in group], lambda words: [f for w in words for f in features(w)], everything=True)
+                own.forget()
+                pairs = [(f, y) for lists, (_, y) in zip(values, group, strict=True) for f in {f for x in lists for f in x}]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32())], names=["feature", "toxic"])
 
     per_class = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = per_class.get(1, 0), per_class.get(0, 0)
@@ -384,11 +415,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     def measured(batches):
         for batch in batches:
             x = with_weights.value.evidence(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], names=["x", "n", "toxic"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("toxic")], names=["x", "n", "s", "toxic"])
 
-    fitted = np.array([tuple(r) for r in rows.mapInArrow(measured, "x double, n double, toxic int").collect()], float)
+    fitted = np.array([tuple(r) for r in rows.mapInArrow(measured, "x double, n double, s double, toxic int").collect()], float)
     fitted = fitted[np.lexsort(fitted.T)]  # one order, whatever came first
-    scorer.curve = logistic(fitted[:, :2], fitted[:, 2])
+    scorer.curve = logistic(fitted[:, :3], fitted[:, 3])
     return scorer
 
 
