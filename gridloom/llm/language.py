@@ -1,23 +1,24 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
 The network reads the bytes of a text in both directions, labels every position with a language and pools the positions
-into document probabilities. It is trained by backpropagation through time on windows drawn at random from whole texts
-of a bounded sample of labelled documents; all documents are then labelled in full. Long texts are read as windows that
+into document probabilities. It is trained by backpropagation through time on windows drawn at random from passages of
+a bounded sample of labelled documents, PASSAGES of them at hashed places all over a text; all documents are then
+labelled in full. Long texts are read as windows that
 carry some context on both sides, many windows at a time, so that memory is bounded whatever a text's length.
 
 Edge cases: a null text or one without a letter is `und` with score 0; without labelled documents every text is `und`;
 documents with a null language are not learned from; where nothing is learned, `keep_known` keeps every text with a
-letter; repeated rows get equal results; an empty table gives an empty result; other columns of the input are not read
+letter; `keep_known` fills a null language with the predicted one if the input has a column `lang`; repeated rows get equal results; an empty table gives an empty result; other columns of the input are not read
 (`identify`) or come back as they are (`keep_known`).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -25,8 +26,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 1500
-#: Languages that it can tell apart, at most: those with the most labelled documents.
-MOST_LANGUAGES = 64
+#: Passages of a sampled text that windows are drawn from, and characters of each.
+PASSAGES, PASSAGE = 8, 250
 HIDDEN = 10
 WINDOW, BATCH, STEPS, RATE = 48, 128, 260, 0.02
 #: Bytes that a window labels when reading, and its context on either side.
@@ -37,8 +38,9 @@ LANES = 1024
 #: positions in such runs. Documents in several languages have as many of these as others, whatever their pooled ones.
 SURE, RUN, ENOUGH = 0.4, 8, 0.1
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
+KNOWN = StructType([StructField("kept", BooleanType()), StructField("lang", StringType())])
 
 
 def is_learned(doc_id: Column) -> Column:
@@ -170,40 +172,52 @@ class ByteNetwork:
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Document probabilities: the mean over all positions, those of ASCII space and below aside."""
-        total = np.zeros((len(texts), len(self.languages)))
-        for text, _, x, labels in self.read(texts):
-            counted = (x > 32) & (x < 256)
-            np.add.at(total, text, np.einsum("tnc,tn->nc", labels, counted.astype(np.float32)))
-        return total / np.maximum(total.sum(1, keepdims=True), 1e-9)
+        return self.judged(texts)[0]
 
-    def shares(self, texts: list[bytes]) -> np.ndarray:
-        """The share of each text's positions, those of ASCII space and below aside, in runs of RUN or more that are surely
-        in one language; 1 for shorter texts, which show too little. Runs go on over the windows of a text."""
+    def judged(self, texts: list[bytes], runs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Document probabilities, and with `runs` the share of each text's positions, those of ASCII space and below aside,
+        in runs of RUN or more that are surely in one language; 1 for shorter texts, which show too little. Runs go on
+        over the windows of a text."""
+        total = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([len(t) for t in texts], int)
         begin = np.cumsum(sizes) - sizes
-        label = np.full(int(sizes.sum()), -2, np.int16)
+        label = np.full(int(sizes.sum()) if runs else 0, -2, np.int16)
         none = self.languages.index(UNKNOWN) if UNKNOWN in self.languages else -1
         for text, place, x, labels in self.read(texts):
-            best = labels.argmax(-1)
-            sure = (np.take_along_axis(labels, best[:, :, None], 2)[:, :, 0] >= SURE) & (best != none)
             counted = (x > 32) & (x < 256)
-            label[(begin[text] + place)[counted]] = np.where(sure, best, -1)[counted]
+            np.add.at(total, text, np.einsum("tnc,tn->nc", labels, counted.astype(np.float32)))
+            if runs:
+                best = labels.argmax(-1)
+                sure = (np.take_along_axis(labels, best[:, :, None], 2)[:, :, 0] >= SURE) & (best != none)
+                label[(begin[text] + place)[counted]] = np.where(sure, best, -1)[counted]
+        total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
+        if not runs:
+            return total, None
         at = np.flatnonzero(label > -2)
         label, of = label[at], np.repeat(np.arange(len(texts)), sizes)[at]
         first = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (of[1:] != of[:-1])][: len(label)])
         length = np.diff(np.r_[first, len(label)])
-        total = np.bincount(of, minlength=len(texts))
+        counted = np.bincount(of, minlength=len(texts))
         good = (label[first] >= 0) & (length >= RUN)
         inside = np.bincount(of[first], np.where(good, length, 0), len(texts))
-        return np.where(total < RUN, 1.0, inside / np.maximum(total, 1))
+        return total, np.where(counted < RUN, 1.0, inside / np.maximum(counted, 1))
+
+    def shares(self, texts: list[bytes]) -> np.ndarray:
+        return self.judged(texts, runs=True)[1]
 
-    def known(self, texts: list[str | None]) -> np.ndarray:
-        """Whether each text has a letter and enough of it is in languages; without languages letters are enough."""
+    def known(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        """Whether each text has a letter and enough of it is in languages, and the likeliest language of those; without
+        languages letters are enough."""
         kept = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
-        if any(x != UNKNOWN for x in self.languages):
+        lang: list[str | None] = [None] * len(texts)
+        real = [k for k, x in enumerate(self.languages) if x != UNKNOWN]
+        if real:
             for group in grouped(np.flatnonzero(kept).tolist(), texts):
-                kept[group] = self.shares([texts[i].encode("utf-8", "replace") for i in group]) >= ENOUGH
-        return kept
+                pooled, shares = self.judged([texts[i].encode("utf-8", "replace") for i in group], runs=True)
+                kept[group] = shares >= ENOUGH
+                for i, k in zip(group, pooled[:, real].argmax(1).tolist(), strict=True):
+                    lang[i] = self.languages[real[k]]
+        return kept, lang
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and probability of each text."""
@@ -240,29 +254,31 @@ def train(docs: DataFrame, sample: int = SAMPLE, noise: bool = False) -> ByteNet
     """A network fitted on at most `sample` documents that may be learned from, spread over the languages; with `noise`
     scrambled ones of them are learned as no language."""
     known = docs.select("doc_id", "text", "lang").where(is_learned(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # One row for each language: codes of languages are a list of some thousands at most.
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return ByteNetwork([])
     languages, each = sorted(r["lang"] for r in sizes), -(-sample // len(sizes))
     # Each language gives its share by a hash of the id, so no task sorts a language's documents.
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1_000_000, 1_500_000 * each // r["count"] + 1))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")))
-    # Of a longer text a window at a hashed place is enough: training draws windows from it.
-    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - 2000, F.lit(1))) + 1
-    rows = drawn.select("lang", F.substring("text", place.cast("int"), F.lit(2000)).alias("text")).limit(2 * sample).collect()
+    # Passages of a longer text are enough: training draws windows from them.
+    at = lambda k: F.pmod(F.xxhash64("doc_id", k), F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1) + 1
+    passages = F.transform(F.sequence(F.lit(1), F.lit(PASSAGES)), lambda k: F.substring("text", at(k).cast("int"), F.lit(PASSAGE)))
+    rows = drawn.select("lang", passages.alias("texts")).limit(2 * sample).collect()
     number = {x: k for k, x in enumerate(languages)}
-    rows = sorted(r for r in rows if r["text"])  # one order, whatever came first
-    languages = [x for x in languages if any(r["lang"] == x for r in rows)]
+    rows = sorted({(r["lang"], t) for r in rows for t in r["texts"]})  # one order, whatever came first
+    languages = [x for x in languages if any(r[0] == x for r in rows)]
     number = {x: k for k, x in enumerate(languages)}
     network = ByteNetwork(languages + [UNKNOWN] * (noise and languages != [] and UNKNOWN not in languages))
     if languages:
-        network.fit([r["text"].encode("utf-8", "replace") for r in rows], np.array([number[r["lang"]] for r in rows]))
+        network.fit([t.encode("utf-8", "replace") for _, t in rows], np.array([number[x] for x, _ in rows]))
     return network
 
 
 def predictor(docs: DataFrame, network: ByteNetwork):
     """A column function: text to (lang, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # a few hundred KB, fixed by HIDDEN and MOST_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(network)  # a few hundred KB, fixed by HIDDEN and the languages
 
     @pandas_udf(RESULT)
     def predicted(texts: pd.Series) -> pd.DataFrame:
@@ -280,11 +296,17 @@ def identify(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
-    """The columns of docs; documents without a letter go, and those of which too little is surely in a language."""
+    """The columns of docs; documents without a letter go, and those of which too little is surely in a language. A null in
+    a column `lang` becomes the predicted language."""
     shared = docs.sparkSession.sparkContext.broadcast(network or train(docs, noise=True))
 
-    @pandas_udf(BooleanType())
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.known(texts.tolist()))
+    @pandas_udf(KNOWN)
+    def known(texts: pd.Series) -> pd.DataFrame:
+        kept, lang = shared.value.known(texts.tolist())
+        return pd.DataFrame({"kept": kept, "lang": lang})
 
-    return docs.where(known(docs["text"]))
+    # Read once for both what stays and its language.
+    judged = docs.withColumn("__known", known.asNondeterministic()(docs["text"])).where("__known.kept")
+    if "lang" in docs.columns and dict(docs.dtypes)["lang"] == "string":
+        judged = judged.withColumn("lang", F.coalesce(docs["lang"], F.col("__known.lang")))
+    return judged.drop("__known")

@@ -1,4 +1,7 @@
+import itertools
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,6 +92,38 @@ def test_kept_is_what_lies_in_languages(spark):
     assert np.allclose(net.shares([t.encode() for t in texts[:4]]), alone, atol=0.02)
 
 
+def test_languages_that_are_null_are_filled_and_the_network_decides(spark):
+    rng = random.Random(8)
+    rows = [(i, text(rng, w), name if i % 3 else None) for i, (w, name) in enumerate(120 * [(EN, "en"), (DE, "de")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.keep_known(docs).collect()
+    assert len(kept) == len(rows) and all(r.lang == ("en" if r.doc_id % 2 == 0 else "de") for r in kept)
+    # A network that finds nothing sure keeps nothing but what is too short to tell.
+    blind = language.ByteNetwork(["de", "en", "und"])
+    blind.p["W"] *= 0
+    assert language.keep_known(docs, blind).count() == 0
+
+
+def test_letters_are_letters():
+    net = language.ByteNetwork(["de", "en"])
+    assert net.predict(["½ ² ①", "_", "é", "字"])[0][:2] == ["und", "und"] and "und" not in net.predict(["é", "字"])[0]
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = language.identify(docs).join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").where("held_out")
+    right = got.selectExpr("avg(CAST(lang_pred = lang AS INT)) AS a", "count(*) AS n").first()
+    assert right.n > 100 and right.a >= 0.99
+    # Some labels of these tables are noise: one in ten toxic ones marks a text without a toxic word.
+    scored = toxicity.score(docs, labels).join(labels.where("toxic IS NOT NULL"), "doc_id").where("held_out")
+    right = scored.selectExpr("avg(CAST(predicted = toxic AS INT)) AS a", "count(*) AS n", "sum(toxic) AS t", "sum(toxic * predicted) AS hit").first()
+    assert right.n > 50 and right.a >= 0.95 and right.hit >= 0.6 * right.t
+
+
 BAD = ["scoundrel", "villainy", "rotten"]
 
 
@@ -142,3 +177,57 @@ def test_toxicity_of_odd_rows(spark, odd, corpus):
     got = toxicity.score(odd, none).collect()
     assert len(got) == odd.count() and all(r.score == 0 and r.predicted == 0 for r in got)
     assert toxicity.score(odd.where(F.lit(False)), none).count() == 0
+
+
+def every_path(channel, token):
+    """The best reading of a token among all paths through its lattice."""
+    best = (-np.inf, "")
+    for steps in itertools.product(*[channel.options(token, i) for i in range(len(token))]):
+        context, score, out = (0, 0), 0.0, []
+        for i, (symbol, cost) in enumerate([*steps, (0, 0.0)]):
+            score -= cost
+            if symbol >= 0:
+                score += channel.lm[context[0], context[1], symbol]
+                context = context[1], symbol
+                if i < len(token):
+                    out.append(chr(96 + symbol) if 0 < symbol < 27 else token[i] if symbol == 27 else " ")
+        best = max(best, (score, " ".join("".join(out).split())))
+    return best
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    s = toxicity.symbols("\n\n".join(EN + BAD))
+    np.add.at(counts, (s[:-2] * 28 + s[1:-1]) * 28 + s[2:], 1)
+    channel, rng = toxicity.Channel(counts), random.Random(9)
+    tokens = ["r0++3n", "th@@@t", "f-r_o.m", "1*1|!", "x&yé5", "", "a"]
+    tokens += ["".join(rng.choice("aehot01345@$!|+.-* é&") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    for token in map(toxicity.shortened, tokens):
+        assert channel.restore([token])[0] == every_path(channel, token)[1], token
+
+
+def test_only_tokens_without_evidence_are_not_read(spark, corpus):
+    scorer, rng = toxicity.train(*corpus), random.Random(10)
+    def disguise(w):
+        return "".join(rng.choice([c, c, c, c + "-", c * 3, {"o": "0", "e": "3", "l": "|", "t": "7", "i": "1"}.get(c, c)]) for c in w)
+    tokens = {disguise(rng.choice(EN + BAD)) + rng.choice(["", "!", "&co", "&rotten"]) for _ in range(400)}
+    scorer.learn(tokens, scorer.value, True)
+    expected = dict(scorer.memory)
+    scorer.forget()
+    scorer.learn(tokens, scorer.value, False)
+    assert scorer.memory == expected and sum(v > 0 for v in expected.values()) > 20
+
+
+def test_long_texts_take_time_in_proportion(spark, corpus):
+    scorer = toxicity.train(*corpus)
+    for long in ("a" * 1_000_000, "a " * 500_000, "5(0|_|nd23l" * 20_000):
+        begin = time.process_time()
+        assert scorer.scores([long])[0] < 0.5 or "5" in long
+        assert time.process_time() - begin < 20
+
+
+def test_conflicting_labels_have_one_result(spark, corpus):
+    docs, labels = corpus
+    more = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic")).where("doc_id % 7 = 1"))
+    one, two = (toxicity.train(docs, f) for f in (more, more.repartition(3).orderBy(F.desc("doc_id"))))
+    assert one.weights == two.weights and one.curve == two.curve
