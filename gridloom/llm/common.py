@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows (of a few numbers each) may be broadcast; larger ones are joined by shuffle.
@@ -13,13 +13,15 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context.getCheckpointDir()
         if current:
             return current
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -46,34 +48,81 @@ def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
 
 
+#: A filter of keys has so many words of 64 bits, whatever it holds: 16 MB.
+FILTER_WORDS = 1 << 20
+#: A key is hot when it has so many rows at least, and more than one in so many of all; so many keys can be hot at most.
+HOT_ROWS, HOT_KEYS = 1000, 25_000
+
+
+def split_by(frame: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(some, others) of frame: others have a hash in the long column `key` that is none of keys', and go no further.
+
+    keys become a filter of FILTER_WORDS words, built where they are and sent to the rows, so that only those that it
+    hits need an exact and shuffled join. It is of one size always; the fuller it is, the more rows it hits.
+    """
+    place = F.pmod(key, F.lit(64 * FILTER_WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(`{key}` & 63 AS INT))")
+    words = keys.groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    words = F.broadcast(cut(words))
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    joined = frame.join(words, F.shiftright(place, 6) == F.col("__word"), "left").withColumn("__hit", hit).drop("__word", "__bits")
+    return joined.where("__hit").drop("__hit"), joined.where("not __hit").drop("__hit")
+
+
+def numbered(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """frame with a column that numbers the rows of equal keys, which hold no null, from 0.
+
+    Rows are numbered where they are, and a partition's numbers start where the partitions before it ended, so that a
+    key with any number of rows is in no one task.
+    """
+    held = cut(frame.withColumn("__part", F.spark_partition_id()))
+    own = [*keys, "__part"]
+    local = held.withColumn("__own", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = held.groupBy(*own).agg(F.count("*").alias("__rows"))
+    begin = begin.select(*own, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__begin"))
+    both = local.join(begin, own).withColumn(name, F.col("__begin") + F.col("__own") - 1)
+    return both.drop("__part", "__own", "__begin")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of side, which has one row for each key and in `weight` how many of the `total` rows have it.
+
+    Hot keys, HOT_KEYS at most, are sent to where their rows are; the others have few rows and are joined by shuffle.
+    """
+    side, most = cut(side), max(HOT_ROWS, total // HOT_KEYS)
+    hot, others = side.where(F.col("weight") > most).drop("weight"), side.where(F.col("weight") <= most).drop("weight")
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)
+    return rows.join(F.broadcast(hot), key).unionByName(few)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges has two long columns a and b. Returns (node, root): root is the smallest node that can be reached.
     Nodes without an edge to another node are absent. Each round cuts its lineage; the edges stay on the executors
-    and only a count and a checksum reach the driver.
+    and only a count reaches the driver.
     """
     current = cut(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    seen = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = lowest.where("m < u").select("u", F.col("m").alias("v"))
-        large = large.unionByName(kept).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = cut(small_star.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        state = current.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
-        ).first()
-        if state == seen:
+        lowest = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("weight")))
+        about = lowest.agg(F.sum("weight").alias("total"), F.count_if(F.expr("m < u AND weight > 1")).alias("open")).first()
+        # Settled when all are stars: whoever has a smaller neighbour has no other.
+        if not about["open"]:
             break
-        seen = state
+        total = about["total"]
+        # Every edge is taken from its larger end to the least neighbour of its smaller end.
+        large = spread_join(current.select("v", F.col("u").alias("w")), lowest.withColumnRenamed("u", "v"), "v", total)
+        large = large.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(lowest.where("m < u").select("u", F.col("m").alias("v")))
+        large = cut(large.distinct())
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        small_star = spread_join(large, lowest, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        current = cut(small_star.unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
     roots = current.select("v").distinct()

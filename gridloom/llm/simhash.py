@@ -20,12 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gridloom.llm.common import components, cut, partitions, small
+from gridloom.llm.common import components, cut, partitions, split_by, spread_join
 
 #: Fixed by the definition of the fingerprint.
 SHINGLE = 3
@@ -195,33 +195,42 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint of rows (doc_id, fp)."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """(fp, root, component_id, weight) for each distinct fingerprint of rows (doc_id, fp); weight is its number of rows."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight")))
     roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    rooted = cut(
+        distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.col("weight").alias("rows"), F.coalesce("root", "fp").alias("root"))
     )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("weight"))
+    found = spread_join(rooted.select("fp", "rows", "root"), least, "root", rooted.count())
+    return found.select("fp", "root", "component_id", F.col("rows").alias("weight"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs."""
     prints = cut(docs.select("doc_id", fingerprints("text").alias("fp")))
-    found = prints.join(classes(prints), "fp")
+    found = spread_join(prints, classes(prints).drop("root"), "fp", prints.count())
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of docs; of each component the row with the smallest id, then the smallest hash of its text."""
-    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints("text").alias("fp")))
-    found = prints.join(classes(prints.select("doc_id", "fp")), "fp")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    kept = cut(kept.select(F.col("k.doc_id").alias("__keep_id"), F.col("k.text_hash").alias("__keep_hash")))
-    hashed = docs.withColumn("__text_hash", F.xxhash64(docs["text"]))
-    rows = hashed.join(small(kept), hashed["doc_id"].eqNullSafe(F.col("__keep_id")) & (F.col("__text_hash") == F.col("__keep_hash")), "left_semi")
-    repeats = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
-    if repeats.limit(1).count():
-        order = Window.partitionBy("doc_id", "__text_hash").orderBy("doc_id")
-        rows = rows.withColumn("__copy", F.row_number().over(order)).where("__copy = 1")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The columns of docs; of each component the row with the smallest id, null being the last, then the smallest hash of
+    its text; of rows with one id and one text the one with the smallest hash of all its columns.
+
+    Rows that are alone in their component are told by a filter of fixed size and pass without a shuffle.
+    """
+    text_hash = F.xxhash64("text")
+    prints = cut(docs.select("doc_id", text_hash.alias("text_hash"), fingerprints("text").alias("fp")))
+    found = spread_join(prints, classes(prints.select("doc_id", "fp")).select("fp", "root", "weight"), "fp", prints.count())
+    keys = found.groupBy("root", F.xxhash64("doc_id", "text_hash").alias("__key"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    keys = cut(keys.agg(F.count("*").alias("copies")))
+    first = keys.groupBy("root").agg(F.min(F.struct("none", "id", "text_hash")).alias("k"), F.count("*").alias("weight"))
+    judged = spread_join(keys, first, "root", prints.count()).withColumn("stays", F.struct("none", "id", "text_hash") == F.col("k"))
+    names = ["__key", "__none", "__id", "__hash"]
+    gone = cut(judged.where("copies > 1 OR NOT stays").select(F.col("__key"), F.col("none").alias("__none"), F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"))
+    own = [F.xxhash64("doc_id", text_hash), F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), text_hash]
+    some, others = split_by(docs.withColumns(dict(zip(names, own, strict=True))), gone, "__key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = some.groupBy(*names).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+    once = once.join(gone.where("NOT stays").drop("stays"), names, "left_anti").select("__row.*")
+    return others.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(once)
