@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: shared folders, cut lineage, whole-table joins of small sides, components."""
+"""Helpers shared by the text operators: shared folders, cut lineage, joins with hot keys, components."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side with at most so many rows (of a few numbers each) may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 50_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one on a local master only."""
@@ -43,15 +40,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a count of the rows; larger frames come back as they are, for a shuffled join."""
-    return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
-
-
 #: A filter of keys has so many words of 64 bits, whatever it holds: 16 MB.
 FILTER_WORDS = 1 << 20
-#: A key is hot when it has so many rows at least, and more than one in so many of all; so many keys can be hot at most.
-HOT_ROWS, HOT_KEYS = 1000, 25_000
+#: A key is hot when it has more than one in so many of all rows; so many keys can be hot at most.
+HOT_KEYS = 25_000
 
 
 def split_by(frame: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +82,7 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataF
 
     Hot keys, HOT_KEYS at most, are sent to where their rows are; the others have few rows and are joined by shuffle.
     """
-    side, most = cut(side), max(HOT_ROWS, total // HOT_KEYS)
+    side, most = cut(side), total // HOT_KEYS
     hot, others = side.where(F.col("weight") > most).drop("weight"), side.where(F.col("weight") <= most).drop("weight")
     few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)
     return rows.join(F.broadcast(hot), key).unionByName(few)

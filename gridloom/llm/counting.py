@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gridloom.llm.common import cut, partitions, small
-from gridloom.llm.pieces import encoder
+from gridloom.llm.common import cut, partitions, spread_join
+from gridloom.llm.pieces import LONGEST_SPECIAL, encoder
 
 #: Texts of more characters are cut into chunks.
 HUGE = 65_536
@@ -31,7 +31,7 @@ CHUNK = 32_768
 OVERLAP = 256
 #: A word start so near a chunk's end may not be one in the whole text: the longest string that is looked at as a whole
 #: is a special one.
-MARGIN = 32
+MARGIN = LONGEST_SPECIAL
 CHUNKS = "key string, k long, n_chunks long, at long, ends long, left_end long, chunk string"
 PARTS = "key string, k long, n_chunks long, n_tokens long, head array<struct<place:long,token:long>>, tail array<struct<place:long,token:long>>"
 
@@ -136,9 +136,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, huge: int = HUGE
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     short = rows.where(F.length("text") <= huge).select("doc_id", n_bytes, counted("text").alias("n_tokens"))
-    long = rows.where(F.length("text") > huge)
-    keyed = long.select("doc_id", n_bytes, F.sha2("text", 256).alias("key"))
-    texts = long.select(F.sha2("text", 256).alias("key"), "text", F.length("text").alias("n_chars")).dropDuplicates(["key"])
-    counts = count_huge(texts, path, chunk, overlap)
-    found = keyed.join(small(counts), "key").select("doc_id", "n_bytes", "n_tokens")
+    # Read once and kept apart: texts of this length are few, and the rounds below ask for them again and again.
+    long = cut(rows.where(F.length("text") > huge).select("doc_id", "text", n_bytes, F.sha2("text", 256).alias("key")))
+    texts = long.select("key", "text", F.length("text").alias("n_chars")).dropDuplicates(["key"])
+    keyed = long.select("doc_id", "n_bytes", "key")
+    counts = count_huge(texts, path, chunk, overlap).join(keyed.groupBy("key").agg(F.count("*").alias("weight")), "key")
+    found = spread_join(keyed, counts, "key", long.count()).select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(found).withColumn("over_limit", F.col("n_tokens") > limit)

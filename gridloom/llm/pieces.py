@@ -26,6 +26,8 @@ LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c n
 MARKS = ".,;:!?"
 PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]?)")
 PROBES = ("Word", "stra\u00dfe,", "\u00c9l\u00e8ve.", "ni\u00f1o", "I!", "\u00dcber", "don", "s")
+#: Special strings are at most so long.
+LONGEST_SPECIAL = 32
 #: When the memory holds more pieces or characters than these, it keeps the short ones that were met again.
 MOST_PIECES = 600_000
 MOST_CHARS = 32_000_000
@@ -62,10 +64,17 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.check_specials()
         self.model = self.tokenizer.model
         self.forget()
         self.spelling = self.spelt()
 
+    def check_specials(self) -> None:
+        """Pieces and chunks may be cut beside white space only where no special string reaches over it."""
+        for x in self.tokenizer.get_added_tokens_decoder().values():
+            if x.lstrip or x.rstrip or len(x.content) > LONGEST_SPECIAL or any(map(str.isspace, x.content)):
+                raise ValueError(f"special string {x.content!r} strips or has white space, or is above {LONGEST_SPECIAL} characters")
+
     def spelt(self) -> tuple[dict[int, str], str, dict[str, list[int]]] | None:
         """How letters and a space before a word are spelled, and ids of the marks; None if words aren't spelled so."""
         t = self.tokenizer

@@ -6,13 +6,14 @@ error. Inside a list a query's table of distances to the codewords gives asymmet
 inequality a vector whose distance is above the radius plus its code's error is no link, all others are compared
 exactly in double precision. A pair counts in the first list that both share, so each link counts once on each side.
 Lists above a size are cut into chunks and every pair of chunks is one unit of work, so no task gets an unbounded list.
-A unit returns sums and a spanning forest, never its pairs.
+A unit returns sums and a spanning forest, never its pairs. Vectors of each length have lists of their own; a length
+that no index is fitted for has one list, in which all pairs are compared exactly.
 
 With six lists a pair at the threshold shares none less than once in a thousand times (measured: 0.9997 of random pairs
 at cosine 0.95 and 1000 lists share one).
 
-Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components link
-with nothing and are their own component; equal vectors are one row with a weight; ids may repeat; an empty table gives
+Edge cases: vectors that are null, zero, or that hold null or non-finite components link with nothing and are their own
+component; vectors of different lengths are not compared; equal vectors are one row with a weight; ids may repeat; an empty table gives
 an empty result; other columns of the input are not read.
 """
 
@@ -20,10 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, partitions
+from gridloom.llm.common import components, cut, partitions, spread_join
 
 COSINE = 0.95
 #: Vectors that the index is fitted on, at most; all vectors are indexed.
@@ -31,6 +33,8 @@ SAMPLE = 12_288
 #: Coarse centroids at most, and lists that each vector is in and probes.
 MOST_LISTS = 4096
 PROBES = 6
+#: Lengths that an index is fitted for, the commonest ones; the others have one list each.
+FITTED = 16
 SUBSPACES = 8
 CODEWORDS = 256
 #: Centroids are at most so similar to one another, so that a crowd of near copies does not spread over many lists.
@@ -68,6 +72,22 @@ def spread(points: np.ndarray, most: int) -> np.ndarray:
     return kept[:most]
 
 
+class Single:
+    """One list and no code, whose error is infinite: everything is compared exactly."""
+
+    def __init__(self, dim: int):
+        self.centres, self.cuts, self.books = np.zeros((1, dim)), [], []
+
+    def lists(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        return np.zeros((len(unit), 1), int)
+
+    def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((len(residual), 0), np.uint8), np.full(len(residual), np.inf)
+
+    def distances(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return np.zeros((len(residual), len(codes)))
+
+
 class Index:
     """Coarse centroids and codebooks."""
 
@@ -104,37 +124,52 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
+class Lists:
+    """An index for each length of vectors; `first` is the number of its first list, below zero for lengths without one."""
+
+    def __init__(self, indexes: dict[int, Index]):
+        self.indexes, self.first, n = indexes, {}, 0
+        for d, index in sorted(indexes.items()):
+            self.first[d] = n
+            n += len(index.centres)
+        self.n = n
+
+    def of(self, dim: int) -> tuple[Index | Single, int]:
+        return (self.indexes[dim], self.first[dim]) if dim in self.indexes else (Single(dim), -dim)
+
+
 def stacked(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def assigned(index, probes: int, kind: pa.DataType):
+def assigned(shared, probes: int, kind: pa.DataType):
     """Rows (uid, weight, list, lists, code, error, vec) for each distinct vector and list."""
 
     def run(batches):
-        own = index.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = stacked(batch.column("embedding"))
-            unit /= np.linalg.norm(unit, axis=1)[:, None]
-            lists = own.lists(unit, probes)
-            for k in range(lists.shape[1]):
-                codes, error = own.encode(unit - own.centres[lists[:, k]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("uid"), batch.column("weight"), pa.array(lists[:, k], pa.int32()),
-                        pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()),
-                        pa.array(error), batch.column("embedding").cast(pa.list_(kind)),
-                    ],
-                    names=["uid", "weight", "list", "lists", "code", "error", "vec"],
-                )
+            length = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(length).tolist():
+                own, first = shared.value.of(dim)
+                part = batch.take(pa.array(np.flatnonzero(length == dim)))
+                unit = stacked(part.column("embedding"))
+                unit /= np.linalg.norm(unit, axis=1)[:, None]
+                lists = own.lists(unit, probes)
+                for k in range(lists.shape[1]):
+                    codes, error = own.encode(unit - own.centres[lists[:, k]])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("uid"), part.column("weight"), pa.array(first + lists[:, k], pa.int32()),
+                            pa.array(list((first + lists).astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()),
+                            pa.array(error), part.column("embedding").cast(pa.list_(kind)),
+                        ],
+                        names=["uid", "weight", "list", "lists", "code", "error", "vec"],
+                    )
 
     return run
 
 
-def compare(index: Index, threshold: float, rows: dict, both: bool) -> tuple[np.ndarray, np.ndarray]:
+def compare(index: Index | Single, threshold: float, rows: dict, both: bool) -> tuple[np.ndarray, np.ndarray]:
     """What each vector of a unit links to, by weight, and a label shared by all that links connect.
 
     both: the unit is a pair of different chunks, and only pairs across them count.
@@ -142,7 +177,7 @@ def compare(index: Index, threshold: float, rows: dict, both: bool) -> tuple[np.
     vec, lists, weight, side, place = rows["vec"], rows["lists"], rows["weight"], rows["side"], rows["list"]
     n, radius = len(vec), np.sqrt(max(0.0, 2 - 2 * threshold))
     unit = vec / np.linalg.norm(vec, axis=1)[:, None]
-    residual = unit - index.centres[place]
+    residual = unit - rows["centre"]
     count, pairs = np.zeros(n, np.int64), []
     for a in range(0, n, 128):
         q = slice(a, min(n, a + 128))
@@ -175,18 +210,20 @@ def compare(index: Index, threshold: float, rows: dict, both: bool) -> tuple[np.
     return count, label
 
 
-def searched(index, threshold: float):
+def searched(shared, threshold: float):
     def run(batches):
-        own, held, unit = index.value, [], None
+        held, unit = [], None
 
         def found():
             table = pa.Table.from_batches(held).combine_chunks()
             # The two chunks of a pair are told apart by their numbers.
             chunk = table.column("chunk").to_numpy()
+            vec, place = stacked(table.column("vec").combine_chunks()), int(table.column("list")[0].as_py())
+            own, first = shared.value.of(vec.shape[1])
             rows = {
-                "vec": stacked(table.column("vec").combine_chunks()), "lists": stacked(table.column("lists").combine_chunks()).astype(np.int32),
-                "weight": table.column("weight").to_numpy(), "error": table.column("error").to_numpy(), "list": int(table.column("list")[0].as_py()),
-                "code": np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(table), -1), "side": chunk,
+                "vec": vec, "centre": own.centres[place - first], "lists": stacked(table.column("lists").combine_chunks()).astype(np.int32),
+                "weight": table.column("weight").to_numpy(), "error": table.column("error").to_numpy(), "list": place,
+                "code": np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(table), len(own.cuts)), "side": chunk,
             }
             count, label = compare(own, threshold, rows, bool(table.column("pair")[0].as_py()))
             uid = table.column("uid").to_numpy()
@@ -217,23 +254,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, probes: int =
     number = "double" if "double" in dict(rows.dtypes)["embedding"] else "float"
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    dim = rows.where(usable).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    usable = usable & (F.size("embedding") == (dim[0]["d"] if dim else -1))
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
-        return alone
     grouped = cut(rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight")))
     distinct = grouped.withColumn("uid", F.monotonically_increasing_id())
-    n = distinct.count()
-    share = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < (1_000_000 if n <= sample else 950_000 * sample // n)
-    fitted_on = np.array([r[0] for r in distinct.where(share).select("embedding").limit(sample).collect()], np.float64)
-    # One order, whatever came first, and not one of the values'.
-    fitted_on = np.random.default_rng(0).permutation(fitted_on[np.lexsort(fitted_on.T)]) if len(fitted_on) else fitted_on
-    if not len(fitted_on):
-        fitted_on = np.array([r[0] for r in distinct.select("embedding").limit(1).collect()], np.float64)
-    # At most MOST_LISTS centroids and SUBSPACES codebooks of CODEWORDS entries: a few MB at any size of the table.
-    index = spark.sparkContext.broadcast(Index(fitted_on, min(MOST_LISTS, max(1, int(4 * n**0.5)))))
-    n_lists = len(index.value.centres)
+    # One row for each length of vectors.
+    lengths = {r["d"]: r["n"] for r in grouped.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not lengths:
+        return alone
+    n, common = sum(lengths.values()), sorted(lengths, key=lambda d: (-lengths[d], d))[:FITTED]
+    each = sample // len(common)
+    share = F.create_map(*[F.lit(x) for d in common for x in (d, 1_000_000 if lengths[d] <= each else 950_000 * each // lengths[d])])
+    drawn = distinct.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < F.try_element_at(share, F.size("embedding")))
+    fitted_on: dict[int, list] = {}
+    for r in drawn.select("embedding").limit(sample).collect():
+        fitted_on.setdefault(len(r[0]), []).append(r[0])
+
+    def fitted(dim: int) -> Index:
+        # One order, whatever came first, and not one of the values'.
+        own = np.array(fitted_on[dim], np.float64)
+        own = np.random.default_rng(0).permutation(own[np.lexsort(own.T)])
+        return Index(own, min(MOST_LISTS, max(1, int(4 * lengths[dim] ** 0.5))))
+
+    # At most MOST_LISTS centroids and SUBSPACES codebooks of CODEWORDS entries for each of FITTED lengths, and no more
+    # centroids than `sample` vectors: a few MB at any size of the table.
+    index = spark.sparkContext.broadcast(Lists({d: fitted(d) for d in fitted_on}))
+    n_lists = max(1, index.value.n)
     kind = pa.float64() if number == "double" else pa.float32()
     stored = cut(
         distinct.select("uid", "weight", "embedding").mapInArrow(
@@ -260,11 +305,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, probes: int =
     roots = components(found.select(F.col("uid").alias("a"), F.col("other").alias("b")))
     rooted = (
         distinct.join(counts, "uid", "left").join(roots, distinct["uid"] == roots["node"], "left")
-        .select("embedding", "least_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "uid").alias("root"))
+        .select("embedding", "least_id", F.col("weight").alias("copies"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "uid").alias("root"))
     )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("embedding", "n_links", "component_id")
-    linked = rows.where(usable).join(classes, "embedding").select(
+    rooted = cut(rooted)
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("weight"))
+    classes = spread_join(rooted, least, "root", n).select("embedding", "n_links", "component_id", F.col("copies").alias("weight"))
+    linked = spread_join(rows.where(usable), classes, "embedding", grouped.agg(F.sum("weight")).first()[0]).select(
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
     return linked.unionByName(alone)

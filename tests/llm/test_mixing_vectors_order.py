@@ -41,6 +41,21 @@ def test_targets_and_copies(spark):
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in got)
 
 
+def test_targets_are_met_where_ids_are_null_or_repeat(spark):
+    rows = [(None if i % 2 else 7, "a few words", "a" if i < 1000 else "b") for i in range(2000)] + [(i, f"text {i}", "c") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda f: {r.source: r.taken for r in f.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()}
+    got = mixing.mix(docs)
+    targets = {r.source: r.target for r in got.select("source", "target").distinct().collect()}
+    # Within three standard deviations of the drawn copies.
+    assert all(abs(taken(got)[s] - t) < 3 * 3 * (1000 * 0.25) ** 0.5 for s, t in targets.items()), (taken(got), targets)
+    # The same whatever the order and the partitions of the rows, copies of texts included.
+    assert taken(mixing.mix(docs.repartition(7))) == taken(got)
+    once = lambda f: sorted(map(tuple, f.groupBy("doc_id", "text", "source").count().collect()), key=repr)
+    assert once(mixing.repeat(docs)) == once(mixing.repeat(docs.repartition(3)))
+    assert mixing.repeat(docs).count() == sum(r.copies for r in got.collect())
+
+
 def test_mixing_odd_rows(spark, odd):
     assert mixing.mix(odd).count() == odd.count()
     assert mixing.repeat(odd).columns == odd.columns
@@ -66,26 +81,51 @@ def test_order_minhash(spark, odd):
 
 
 def brute(rows):
-    usable = [i for i, (_, v) in enumerate(rows) if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.array([rows[i][1] for i in usable])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= 0.95
-    np.fill_diagonal(near, False)
-    return usable, near
+    """(n_links, component) of each row."""
+    links, lowest = {i: set() for i, _ in rows}, {i: i for i, _ in rows}
+    by_length = {}
+    for i, v in rows:
+        if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            by_length.setdefault(len(v), []).append((i, v))
+    for own in by_length.values():
+        ids, x = [i for i, _ in own], np.array([v for _, v in own])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for a, b in zip(*np.nonzero(x @ x.T >= 0.95), strict=True):
+            if a != b:
+                links[ids[a]].add(ids[b])
+    while any((low := min([lowest[j] for j in links[i]] + [lowest[i]])) != lowest[i] and not lowest.update({i: low}) for i in links):
+        pass
+    return {i: (len(links[i]), lowest[i]) for i in links}
+
+
+def vector_rows(rng, lengths=(8,)):
+    rows = []
+    for d in lengths:
+        centre = rng.normal(size=(5, d))
+        rows += [(len(rows) + i, (centre[i % 5] + rng.normal(size=d) * (0.05 if i % 10 < 5 else 3)).tolist()) for i in range(600)]
+    n = len(rows)
+    rows += [(n + i, rows[0][1]) for i in range(40)]
+    return rows + [(n + 40 + k, v) for k, v in enumerate((None, [0.0] * 8, [float("nan")] * 8, [None] * 8, [1.0], [2.0], [-1.0], [1.0, 1.0], []))]
 
 
 def test_vectors_against_brute_force(spark):
-    rng = np.random.default_rng(1)
-    centre = rng.normal(size=(5, 8))
-    rows = [(i, (centre[i % 5] + rng.normal(size=8) * (0.05 if i % 10 < 5 else 3)).tolist()) for i in range(600)]
-    rows += [(i, rows[0][1]) for i in range(600, 640)] + [(640, None), (641, [0.0] * 8), (642, [float("nan")] * 8), (643, [None] * 8), (644, [1.0])]
-    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    usable, near = brute(rows)
-    assert len(got) == len(rows)
-    links = sum(got[rows[i][0]].n_links for i in usable)
-    assert links <= near.sum() and links >= 0.99 * near.sum()
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(640, 645))
-    assert all(got[i].component_id == got[0].component_id for i in range(600, 640))
+    rows = vector_rows(np.random.default_rng(1))
+    clash = {c: F.lit(3) for c in ("list", "weight", "uid", "vec", "root", "copies", "n_links", "component_id")}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(clash)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}
+    assert got == brute(rows) and sum(n for n, _ in got.values()) > 10_000
+    again = vectors.near_duplicates(frame.unionByName(frame)).collect()
+    assert len(again) == 2 * len(rows)
+    assert all(r.n_links == 2 * got[r.vec_id][0] + (got[r.vec_id] != (0, r.vec_id) or r.n_links > 0) and r.component_id == got[r.vec_id][1] for r in again)
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    """Each length is searched, with an index or without."""
+    rows = vector_rows(np.random.default_rng(3), (8, 5, 12))
+    monkeypatch.setattr(vectors, "FITTED", 2)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}
+    assert got == brute(rows)
 
 
 def test_asymmetric_distances_bound_the_true_ones():

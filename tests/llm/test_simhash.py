@@ -91,3 +91,37 @@ def test_odd_rows(spark, odd):
 
 def test_empty_table(spark, odd):
     assert simhash.near_duplicates(odd.where(F.lit(False))).count() == 0
+
+
+def test_keep_one_of_nulls_and_repeats(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(4, long, "b"), (2, long, "a"), (2, long, "a"), (2, long, "c"), (None, long, "d"), (None, None, "e"), (None, None, "e"), (9, "other words here", "x"), (9, "quite another text", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(2, long), (0, ""), (9, "other words here"), (9, "quite another text")])
+    assert simhash.keep_one(docs).collect() == simhash.keep_one(docs).collect()
+    assert simhash.keep_one(docs.where("doc_id > 100")).count() == 0
+
+
+def test_a_large_star_and_the_split_of_hot_keys(spark, monkeypatch):
+    star = [(5, 1000 + i) for i in range(30_000)] + [(1, 31_000), (3_000_000, 40_000)]
+    got = components(spark.createDataFrame(star, "a long, b long"))
+    sizes = {r.root: r["count"] for r in got.groupBy("root").count().collect()}
+    assert sizes == {5: 30_001, 1: 2, 40_000: 2}
+    from gridloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rows = spark.createDataFrame([(0, i) for i in range(500)] + [(k, k) for k in range(1, 200)], "k long, x long")
+    side = rows.groupBy("k").agg(F.count("*").alias("weight"), F.sum("x").alias("s"))
+    joined = common.spread_join(rows, side, "k", 699)
+    assert joined.count() == 699 and joined.where("k = 0 AND s <> 124750").count() == 0
+
+
+def test_split_by_a_filter_loses_nothing(spark):
+    from gridloom.llm.common import numbered, split_by
+
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS h", "id")
+    some, others = split_by(rows, rows.where("id % 7 = 0").select("h"), "h")
+    assert some.where("id % 7 = 0").count() == 715 and some.count() + others.count() == 5000 and others.where("id % 7 = 0").count() == 0
+    counted = numbered(spark.range(0, 3000, 1, 5).selectExpr("id % 3 AS k"), ["k"], "nth")
+    assert counted.distinct().count() == 3000 and counted.agg(F.max("nth")).first()[0] == 999
