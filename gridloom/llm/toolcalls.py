@@ -5,7 +5,7 @@ Messages are rows (conv_id, turn, role, text). An assistant's text that is a JSO
 is a result. Calls and results are joined by conversation and identifier, the n-th call of an identifier with its n-th
 result. Calls may name others that they come after; depths along these names order them, and calls on a cycle have none.
 Arguments are checked against schemas, and everything is written as canonical JSON: sorted keys, no white space, numbers
-in one form.
+in one form, or as they are written where that form would change them.
 
 The result has a row for each message that is no result and says something beside its calls or makes none, one for each
 call and one for each result, with the places that order a conversation: sort by (anchor, depth, slot, turn). A
@@ -13,7 +13,7 @@ conversation is never gathered into one row or task, however long it is.
 
 Edge cases: text that is no JSON object, or none of these, is plain content; a null text is null content; null ids and
 turns stay null and link nothing; a result without a call has `linked` false and keeps its own turn; arguments that are
-no object are invalid; repeated rows are repeated calls and results; an empty table gives an empty result; other columns
+no object, or have a key twice, are invalid and written as a string; a null role is that of plain content; repeated rows are repeated calls and results; an empty table gives an empty result; other columns
 of the input are not read.
 """
 
@@ -35,9 +35,45 @@ KINDS = {
 }
 
 
+#: Numbers that a decimal of 38 digits or a double may change: long ones, and ones with three digits of exponent.
+LONG_NUMBER = (
+    r"(?<![\w.+-])-?(?:(?=[\d.]{17,}[eE])\d+(?:\.\d+)?[eE][+-]?\d+|\d+(?:\.\d+)?[eE][+-]?\d{3,}|(?=(?:\d\.?){39})\d+(?:\.\d+)?)(?![\w.+-])"
+)
+#: Characters for private use that stand for the ends of such a number, a backslash and a quote while it is set apart.
+NUMBER, BACKSLASH, QUOTE = "\ue000", "\ue001", "\ue002"
+
+
+def has_long(text: Column) -> Column:
+    return F.rlike(text, F.lit(LONG_NUMBER))
+
+
+def is_odd(text: Column) -> Column:
+    return F.rlike(text, F.lit(f"[{NUMBER}{BACKSLASH}{QUOTE}]"))
+
+
+def marked(text: Column) -> Column:
+    """JSON text whose long numbers are strings between two marks; null if it has such numbers and marks of its own."""
+    simple = F.replace(F.replace(text, F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    # A string is followed by empty marks, which go again; only numbers outside strings keep theirs.
+    found = F.regexp_replace(simple, f'("[^"]*")|({LONG_NUMBER})', f'$1"{NUMBER}$2{NUMBER}"')
+    found = F.replace(found, F.lit(f'"{NUMBER}{NUMBER}"'), F.lit(""))
+    found = F.replace(F.replace(found, F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
+    return F.when(~has_long(text), text).when(~is_odd(text), found)
+
+
+def unmarked(text: Column) -> Column:
+    """What was marked as it was written."""
+    return F.regexp_replace(text, f'"?{NUMBER}([^"{NUMBER}]+){NUMBER}"?', "$1")
+
+
 def canonical(text: Column) -> Column:
-    """JSON text in one form: variants keep the keys of objects sorted; null for what is no JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON text in one form: variants keep the keys of objects sorted; null for what is no JSON.
+
+    Numbers that a variant would change are kept as they are written. A text with such a number and a mark of its own is
+    taken for no JSON.
+    """
+    as_it_is = F.to_json(F.try_parse_json(text))
+    return F.when(~has_long(text), as_it_is).otherwise(unmarked(F.to_json(F.try_parse_json(marked(text)))))
 
 
 def problems(calls: DataFrame, schemas: dict[str, dict]) -> Column:
@@ -70,39 +106,57 @@ def problems(calls: DataFrame, schemas: dict[str, dict]) -> Column:
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) of calls with an identifier; a call on or behind a cycle has depth null.
 
-    There are as many rounds as the longest chain has calls. Placed calls leave the pending edges.
+    A call's depth is the greatest of its terms: a number, or what another call's depth is and a number more. Each round
+    places the calls whose terms are all numbers, and puts these, and calls with one open term, in the place of their
+    names: a chain halves each round, and no call has more terms than it began with. A round that places none has
+    cycles and what is behind them left.
     """
     named = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).where("call_id IS NOT NULL").distinct()
-    edges = cut(edges.join(named.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi"))
-    current = named.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0))
-    if not edges.limit(1).count():
-        return current
-    current, most = cut(current), partitions(calls.sparkSession)
+    edges = edges.join(named.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi")
+    most, placed = partitions(calls.sparkSession), 0
+    number = lambda n: F.lit(n).cast("long").alias("more")
+    terms = cut(
+        named.select("conv_id", "call_id", F.lit(None).cast("string").alias("before"), number(0))
+        .unionByName(edges.select("conv_id", "call_id", "before", number(1)))
+    )
     while True:
-        # A call is placed once all that it comes after are.
-        reached = edges.join(current.select("conv_id", F.col("call_id").alias("before"), "depth"), ["conv_id", "before"], "left")
-        ready = reached.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("depth").alias("placed"), F.max("depth").alias("depth"))
-        fresh = cut(ready.where("n = placed").select("conv_id", "call_id", (F.col("depth") + 1).alias("depth")))
-        if not fresh.limit(1).count():
+        open_term = F.struct("before", "more")
+        calls_now = terms.groupBy("conv_id", "call_id").agg(
+            F.count("before").alias("open"), F.max(F.when(F.col("before").isNull(), F.col("more"))).alias("known"),
+            F.max(F.when(F.col("before").isNotNull(), open_term)).alias("one"),
+        )
+        calls_now = cut(calls_now.coalesce(most))
+        before, placed = placed, calls_now.where("open = 0").count()
+        if placed == before:
             break
-        edges = cut(edges.join(fresh, ["conv_id", "call_id"], "left_anti").coalesce(most))
-        current = cut(current.unionByName(fresh).coalesce(most))
-    return named.join(current, ["conv_id", "call_id"], "left")
+        about = calls_now.select("conv_id", F.col("call_id").alias("before"), "open", "known", "one")
+        found = terms.where("before IS NOT NULL").join(about, ["conv_id", "before"])
+        # On cycles numbers would grow without end.
+        more = lambda x: F.least(F.col("more") + x, F.lit(1 << 40)).alias("more")
+        said = F.struct(F.lit(None).cast("string").alias("before"), more(F.col("known")))
+        instead = F.struct(F.col("one.before").alias("before"), more(F.col("one.more")))
+        again = F.array(F.when(F.col("open") <= 1, said), F.when(F.col("open") == 1, instead).when(F.col("open") > 1, open_term))
+        opened = found.select("conv_id", "call_id", F.explode(F.array_compact(again)).alias("t")).select("conv_id", "call_id", "t.before", "t.more")
+        terms = opened.unionByName(terms.where("before IS NULL")).groupBy("conv_id", "call_id", "before").agg(F.max("more").alias("more"))
+        terms = cut(terms.coalesce(most))
+    return calls_now.select("conv_id", "call_id", F.when(F.col("open") == 0, F.col("known").cast("int")).alias("depth"))
 
 
 def link(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, kind, call_id, anchor, depth, slot, linked, problems, json): a row for each message and each call."""
     rows = messages.select("conv_id", "turn", "role", "text")
-    said = F.when(F.col("role") == "assistant", F.from_json("text", CALLS))
+    plainly = lambda c: F.when(has_long(F.col("text")), unmarked(c)).otherwise(c)
+    said = F.when(F.col("role") == "assistant", F.from_json(marked(F.col("text")), CALLS))
     made = said["tool_calls"]
-    got = F.when(F.col("role") == "tool", F.from_json("text", RESULT))
+    got = F.when(F.col("role") == "tool", F.from_json(marked(F.col("text")), RESULT))
     nth = lambda *order: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
     calls = rows.select("conv_id", "turn", F.posexplode(made).alias("slot", "c")).select(
-        "conv_id", "turn", "slot", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after")
+        "conv_id", "turn", "slot", plainly(F.col("c.id")).alias("call_id"), plainly(F.col("c.name")).alias("name"),
+        plainly(F.col("c.arguments")).alias("arguments"), F.transform("c.after", plainly).alias("after"),
     )
     calls = cut(calls.withColumn("nth", nth("turn", "slot", "arguments")))
-    results = rows.where(got["tool_call_id"].isNotNull()).select("conv_id", "turn", got["tool_call_id"].alias("call_id"), got["content"].alias("content"))
+    results = rows.where(got["tool_call_id"].isNotNull()).select("conv_id", "turn", plainly(got["tool_call_id"]).alias("call_id"), plainly(got["content"]).alias("content"))
     results = cut(results.withColumn("nth", nth("turn", "content")))
     placed = calls.join(depths(calls).withColumnRenamed("depth", "chain"), ["conv_id", "call_id"], "left")
     # Calls that nothing precedes are not among the depths.
@@ -124,7 +178,7 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFra
     )
     # What a message says beside its calls is its content; one that only calls is whole in its call rows.
     spoken = rows.where(got["tool_call_id"].isNull() & (made.isNull() | (F.size(made) == 0) | said["content"].isNotNull()))
-    plain = spoken.withColumn("content", F.when(made.isNull(), F.col("text")).otherwise(said["content"])).select(
+    plain = spoken.withColumn("content", F.when(made.isNull(), F.col("text")).otherwise(plainly(said["content"]))).select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("anchor"), F.lit(0).alias("depth"),
         F.lit(-1).cast("long").alias("slot"), F.lit(True).alias("linked"), F.lit("").alias("problems"),
         written({"content": quoted("content"), "role": quoted("role")}).alias("json"),

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,76 @@ def test_depths_of_long_chains_and_unknown_names(spark):
 
 def test_empty_table(spark):
     assert toolcalls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def plain_depths(made):
+    """The depth of each call by walking back, None on or behind a cycle."""
+    before = {}
+    for c in made:
+        before.setdefault(c["id"], set()).update(x for x in c.get("after", []) if any(x == d["id"] for d in made))
+    depth, todo = {}, True
+    while todo:
+        todo = [i for i, b in before.items() if i not in depth and all(x in depth for x in b)]
+        depth |= {i: max((depth[x] + 1 for x in before[i]), default=0) for i in todo}
+    return {i: depth.get(i) for i in before}
+
+
+def plain_problems(arguments):
+    if not isinstance(arguments, dict):
+        return "no object"
+    right = {"q": lambda v: isinstance(v, str), "n": lambda v: isinstance(v, int) and not isinstance(v, bool), "w": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)}
+    wrong = [f"type:{k}" if k in right else f"unknown:{k}" for k, v in arguments.items() if k not in right or not right[k](v)]
+    return ",".join(sorted(wrong + ["missing:q"] * ("q" not in arguments)))
+
+
+def test_against_a_plain_linker(spark):
+    """Random graphs, deep chains, ladders and cycles, and random arguments, all in one table."""
+    rng, rows, expected = random.Random(4), [], {}
+    values = [1, -2.5, "x", "ü\"\\", True, None, [1, {"b": 1, "a": []}], {"z": 0, "y": "1"}]
+    graphs = [[(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(n)] for n in (60, 500)]
+    graphs += [[(f"{s}{i}", [f"a{i - 1}", f"b{i - 1}"] if i else []) for i in range(12) for s in "ab"]]
+    graphs += [[("x", ["z"]), ("y", ["x"]), ("z", ["y"]), ("behind", ["y", "free"]), ("free", [])]]
+    graphs += [[(f"n{i}", [f"n{rng.randrange(20)}" for _ in range(rng.randrange(3)) if rng.random() < 0.6]) for i in range(20)] for _ in range(25)]
+    for conv, graph in enumerate(graphs):
+        made = []
+        for i, after in graph:
+            arguments = {k: rng.choice(values) for k in rng.sample(["q", "n", "w", "other"], rng.randrange(4))} if rng.random() < 0.9 else rng.choice(values)
+            made.append({"id": i, "name": "find", "arguments": arguments, "after": after})
+        rng.shuffle(made)
+        rows.append((conv, 0, "assistant", calls(*made)))
+        answered = {c["id"] for c in made if rng.random() < 0.5}
+        rows += [(conv, 1 + k, "tool", result(i, "ok")) for k, i in enumerate(sorted(answered))]
+        depth = plain_depths(made)
+        for slot, c in enumerate(made):
+            text = json.dumps({"arguments": c["arguments"], "id": c["id"], "name": "find"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            expected[conv, slot] = (c["id"], depth[c["id"]], c["id"] in answered, plain_problems(c["arguments"]), text if c["arguments"] is not None else None)
+    begin = time.time()
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).where("kind = 'call'").collect()
+    assert time.time() - begin < 60
+    assert len(got) == len(expected)
+    for r in got:
+        i, depth, linked, problems, text = expected[r.conv_id, r.slot]
+        assert (r.call_id, r.depth, r.linked) == (i, depth, linked), (r, depth)
+        if text is not None and not text.startswith('{"arguments":"'):
+            assert r.problems == problems and r.json == text, (r, problems, text)
+
+
+def test_numbers_are_not_changed(spark):
+    texts = {
+        '{"b":1e400,"a":"1e400 \\" 1e401"}': '{"a":"1e400 \\" 1e401","b":1e400}', '[12345678901234567890123456789012345678901]': None, '{"x":[-0.1e-400,1.50]}': '{"x":[-0.1e-400,1.5]}',
+        '{"k":12345678901234567.25e3}': None, '"1e400"': None, '{"a":1,"a":2}': "null", "no 1e400": "null", '{"p":"","n":1e400}': "null",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "t string, wanted string")
+    for r in frame.select("t", "wanted", toolcalls.canonical(F.col("t")).alias("c")).collect():
+        assert r.c == (r.t if r.wanted is None else None if r.wanted == "null" else r.wanted)
+
+
+def test_odd_messages(spark, odd):
+    frame = odd.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", "score", "n", "part")
+    got = toolcalls.link(frame, SCHEMAS)
+    assert got.count() == odd.count() and got.where("kind <> 'message'").count() == 0
+    marks = {"content": "1\ue0002\ue0003", "tool_calls": [call("\ue000i\ue000", q="\ue000q\ue000")]}
+    said = toolcalls.link(spark.createDataFrame([(1, 0, "assistant", json.dumps(marks))], "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    assert sorted(json.loads(r.json).get("content") or r.call_id for r in said) == sorted(["1\ue0002\ue0003", "\ue000i\ue000"])
+    twice = spark.createDataFrame(2 * [(1, 0, "assistant", calls(call("a", q="x")))] + 2 * [(1, 1, None, calls(call("a", q="x")))], "conv_id long, turn long, role string, text string")
+    assert sorted(r.kind for r in toolcalls.link(twice, SCHEMAS).collect()) == ["call", "call", "message", "message"]
