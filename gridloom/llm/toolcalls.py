@@ -145,13 +145,13 @@ def depths(calls: DataFrame) -> DataFrame:
 
 def link(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, kind, call_id, anchor, depth, slot, linked, problems, json): a row for each message and each call."""
-    rows = messages.select("conv_id", "turn", "role", "text")
-    plainly = lambda c: F.when(has_long(F.col("text")), unmarked(c)).otherwise(c)
+    rows = messages.select("conv_id", "turn", "role", "text").withColumn("long", has_long(F.col("text")))
+    plainly = lambda c: F.when(F.col("long"), unmarked(c)).otherwise(c)
     said = F.when(F.col("role") == "assistant", F.from_json(marked(F.col("text")), CALLS))
     made = said["tool_calls"]
     got = F.when(F.col("role") == "tool", F.from_json(marked(F.col("text")), RESULT))
     nth = lambda *order: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
-    calls = rows.select("conv_id", "turn", F.posexplode(made).alias("slot", "c")).select(
+    calls = rows.select("conv_id", "turn", "long", F.posexplode(made).alias("slot", "c")).select(
         "conv_id", "turn", "slot", plainly(F.col("c.id")).alias("call_id"), plainly(F.col("c.name")).alias("name"),
         plainly(F.col("c.arguments")).alias("arguments"), F.transform("c.after", plainly).alias("after"),
     )
