@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,6 +82,79 @@ def test_order_minhash(spark, odd):
     assert orderminhash.compare_edited(odd.where(F.lit(False)), tasks=4).count() == 0
 
 
+def plain_signature(spark, texts):
+    """The signatures of texts, by numbering, dealing and choosing in plain Python; only the hash function is Spark's."""
+    def hashed(rows):
+        kinds = ["string" if isinstance(x, str) else "long" if i == 0 else "int" for i, x in enumerate(rows[0])]
+        names = [f"c{i}" for i in range(len(kinds))]
+        frame = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], ", ".join(["n long", *(f"{c} {k}" for c, k in zip(names, kinds, strict=True))]))
+        return [r.h for r in frame.select("n", F.xxhash64(*names).alias("h")).orderBy("n").collect()]
+
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        if 1 <= len(words) <= 2:
+            words = [c for c in t if not re.match(r"[\x20\x09-\x0D]", c)]
+        if not words:
+            out.append([None] * 64)
+            continue
+        grams = [tuple(words[i : i + 3]) for i in range(len(words))]
+        # Spark skips what is null, so a shorter k-mer is hashed by its words alone.
+        kmer = [hashed([g])[0] for g in grams]
+        seen, rows = {}, []
+        for h in kmer:
+            seen[h] = seen.get(h, 0) + 1
+            rows.append((h, seen[h]))
+        cells = {}
+        for pos, h in enumerate(hashed(rows)):
+            c = h % 128
+            cells[c] = min(cells.get(c, (h, pos)), (h, pos))
+        filled, pairs = sorted(cells), []
+        for j in range(64):
+            at = next((k for k, c in enumerate(filled) if c >= 2 * j), 0)
+            own = sorted({cells[filled[(at + k) % len(filled)]][::-1] for k in range(2)})
+            pairs.append(tuple(h for _, h in own))
+        if len(pairs[0]) == 1:
+            out.append([hashed([(pairs[0][0],)])[0] & 0xFFFFFFFF] * 64)
+        else:
+            frame = spark.createDataFrame([(n, *p) for n, p in enumerate(pairs)], "n long, a long, b long")
+            out.append([r.h & 0xFFFFFFFF for r in frame.select("n", F.xxhash64("a", "b").alias("h")).orderBy("n").collect()])
+    return out
+
+
+def test_signatures_are_those_of_plain_python(spark):
+    rng = random.Random(6)
+    texts = ["one", "two words", "", " \t", "unspacedtextofsomelength", "a b c", "a a a a a a a", " ".join(f"w{i}" for i in range(25)), " ".join(rng.choice("abcde") for _ in range(60))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in orderminhash.compare_edited(frame, tasks=4).collect()}
+    assert got[0].fingerprint != got[1].fingerprint
+    for i, signature in enumerate(plain_signature(spark, texts)):
+        assert got[i].fingerprint == "".join("-" * 8 if x is None else f"{x:08x}" for x in signature), texts[i]
+        own = [got[i].fingerprint[k : k + 8] for k in range(0, 512, 8)]
+        edited = [got[i].edited_fingerprint[k : k + 8] for k in range(0, 512, 8)]
+        filled = [(a, b) for a, b in zip(own, edited, strict=True) if (a, b) != ("-" * 8, "-" * 8)]
+        assert abs(got[i].near_edited - (sum(a == b for a, b in filled) / len(filled) if filled else 1)) < 1e-12
+
+
+def test_order_shows_in_short_texts(spark):
+    """Likeness of texts to themselves with swapped halves, far below the Jaccard likeness of their k-mers."""
+    for n, overlap, most in ((20, 0.67, 0.45), (40, 0.82, 0.6), (300, 0.97, 0.7)):
+        rows = []
+        for k in range(10):
+            words = [f"w{k}x{i}" for i in range(n)]
+            rows += [(1000 * n + 10 * k + 1, " ".join(words)), (1000 * n + 10 * k, " ".join(words[n // 2 :] + words[: n // 2]))]
+        got = orderminhash.compare_edited(spark.createDataFrame(rows, "doc_id long, text string"), tasks=4).where("doc_id % 10 = 1")
+        near = got.agg(F.avg("near_next")).first()[0]
+        assert 0.1 < near < most < overlap, (n, near)
+
+
+def test_ids_with_many_rows_are_split(spark):
+    rows = [(None, f"text {i} of many words without an id, number {i}") for i in range(300)] + [(i, f"text {i} with an id and some words") for i in range(20)] + [(3, "another text of id three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, split = (sorted(map(tuple, orderminhash.compare_edited(docs, tasks=8, split_rows=n).collect()), key=repr) for n in (1000, 20))
+    assert one == split and len(one) == len(rows)
+
+
 def brute(rows):
     """(n_links, component) of each row."""
     links, lowest = {i: set() for i, _ in rows}, {i: i for i, _ in rows}
