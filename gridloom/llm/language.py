@@ -37,6 +37,8 @@ LANES = 1024
 #: Least probability of a position's label, least run of positions with one label, and least share of a kept document's
 #: positions in such runs. Documents in several languages have as many of these as others, whatever their pooled ones.
 SURE, RUN, ENOUGH = 0.4, 8, 0.1
+#: Mean probability of noise below which a document is kept all the same: short clean ones often have no such run.
+NOISE = 0.96
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
@@ -214,7 +216,8 @@ class ByteNetwork:
         if real:
             for group in grouped(np.flatnonzero(kept).tolist(), texts):
                 pooled, shares = self.judged([texts[i].encode("utf-8", "replace") for i in group], runs=True)
-                kept[group] = shares >= ENOUGH
+                noise = 1 - pooled[:, real].sum(1)
+                kept[group] = (shares >= ENOUGH) | (len(real) < len(self.languages)) & (noise < NOISE)
                 for i, k in zip(group, pooled[:, real].argmax(1).tolist(), strict=True):
                     lang[i] = self.languages[real[k]]
         return kept, lang
@@ -296,8 +299,8 @@ def identify(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
-    """The columns of docs; documents without a letter go, and those of which too little is surely in a language. A null in
-    a column `lang` becomes the predicted language."""
+    """The columns of docs; documents without a letter go, and those of which too little is surely in a language and nearly
+    all is noise to the network. A null in a column `lang` becomes the predicted language."""
     shared = docs.sparkSession.sparkContext.broadcast(network or train(docs, noise=True))
 
     @pandas_udf(KNOWN)
