@@ -8,41 +8,68 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 
-def encode(places: np.ndarray) -> bytes:
-    """Places must be distinct and not negative; they are sorted first."""
-    places = np.sort(np.asarray(places, np.int64))
+#: Least gaps that need 2, 3, ... digits.
+STEPS = np.array([1 << 7 * k for k in range(1, 9)], np.uint64)
+
+
+def encode_all(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of lists of places that lie one after another, `sizes` long; each is sorted first.
+
+    Places of a list must be distinct and not negative.
+    """
+    places, of = np.asarray(places, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    first = np.r_[True, of[1:] != of[:-1]][: len(of)]
+    if not (first[1:] | (places[1:] > places[:-1])).all():
+        places = places[np.lexsort((places, of))]
     gaps = np.diff(places, prepend=-1) - 1
-    if len(gaps) and (gaps[0] < 0 or (gaps < 0).any()):
+    gaps[first] = places[first]
+    if (gaps < 0).any():
         raise ValueError("places must be distinct and not negative")
     gaps = gaps.astype(np.uint64)
-    width = np.maximum(1, -(-np.ceil(np.log2(gaps.astype(float) + 1)).astype(int) // 7))
-    # The logarithm is inexact near powers of two; both neighbours are tried.
-    width += gaps >> np.minimum(7 * width, 63).astype(np.uint64) > 0
-    width -= (width > 1) & (gaps >> (7 * (width - 1)).astype(np.uint64) == 0)
+    width = 1 + np.searchsorted(STEPS, gaps, side="right")
     ends = np.cumsum(width)
-    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - width, width)
-    digits = (np.repeat(gaps, width) >> (7 * step).astype(np.uint64)) & np.uint64(127)
-    return (digits | np.where(step < np.repeat(width, width) - 1, 128, 0).astype(np.uint64)).astype(np.uint8).tobytes()
+    total = int(ends[-1]) if len(ends) else 0
+    step = np.arange(total) - np.repeat(ends - width, width)
+    digits = (np.repeat(gaps, width) >> (7 * step).astype(np.uint64)).astype(np.uint8) & 127
+    digits[np.delete(np.arange(total), ends - 1)] |= 128
+    return digits, np.r_[0, ends][np.cumsum(sizes)] if len(sizes) else np.zeros(0, int)
 
 
-def decode(data: bytes) -> np.ndarray:
-    digits = np.frombuffer(data, np.uint8)
+def decode_all(digits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ends) of what was encoded to byte strings that lie one after another, `sizes` long."""
     last = digits < 128
-    if len(digits) and not last[-1]:
+    byte_ends = np.cumsum(sizes)
+    if not last[byte_ends[sizes > 0] - 1].all():
         raise ValueError("the last number is cut off")
-    number = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(digits) else np.zeros(0, int)
-    begin = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if last.any() else np.zeros(0, int)
-    step = np.arange(len(digits)) - begin[number] if len(digits) else number
-    gaps = np.zeros(int(last.sum()), np.int64)
-    np.add.at(gaps, number, (digits & 127).astype(np.int64) << (7 * step))
-    return np.cumsum(gaps + 1) - 1
+    number_ends = np.flatnonzero(last) + 1
+    begin = np.r_[0, number_ends[:-1]][: len(number_ends)]
+    step = np.arange(len(digits)) - np.repeat(begin, number_ends - begin)
+    parts = (digits & 127).astype(np.int64) << (7 * step)
+    gaps = np.add.reduceat(parts, begin) if len(begin) else np.zeros(0, np.int64)
+    ends = np.r_[0, np.cumsum(last)][byte_ends]
+    reached = np.cumsum(gaps + 1)
+    counts = np.diff(ends, prepend=0)
+    return reached - 1 - np.repeat(np.r_[0, reached][ends - counts], counts), ends
+
+
+def encode(places: np.ndarray) -> bytes:
+    return encode_all(places, np.array([len(places)]))[0].tobytes()
+
+
+def decode(data: bytes) -> np.ndarray:
+    return decode_all(np.frombuffer(data, np.uint8), np.array([len(data)]))[0]
 
 
 @pandas_udf(BinaryType())
 def pack(places: pd.Series) -> pd.Series:
-    return places.map(encode)
+    sizes = places.map(len).to_numpy(np.int64)
+    digits, ends = encode_all(np.concatenate([np.zeros(0, np.int64), *places]), sizes)
+    data, at = digits.tobytes(), [0, *ends.tolist()]
+    return pd.Series([data[a:b] for a, b in zip(at, at[1:], strict=False)], dtype=object)
 
 
 @pandas_udf(ArrayType(LongType()))
 def unpack(data: pd.Series) -> pd.Series:
-    return data.map(decode)
+    places, ends = decode_all(np.frombuffer(b"".join(data), np.uint8), data.map(len).to_numpy(np.int64))
+    at = [0, *ends.tolist()]
+    return pd.Series([places[a:b] for a, b in zip(at, at[1:], strict=False)], dtype=object)

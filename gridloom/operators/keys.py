@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Listed places are sent as a broadcast table up to this many; more are joined by shuffle.
@@ -44,8 +44,37 @@ class Places:
         return F.broadcast(frame) if self.count <= BROADCAST_PLACES else frame
 
 
-def resolve(key, n: int) -> Stride | Places:
-    """key: an int, a slice, a list of booleans of length n, or a list of ints; negative ones count from the end."""
+@dataclass(frozen=True)
+class Table:
+    """Places in a table (old, new) of `count` rows: they never pass the driver."""
+
+    frame: DataFrame
+    count: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return F.broadcast(self.frame) if self.count <= BROADCAST_PLACES else self.frame
+
+
+def numbered(places: DataFrame, name: str, length: int) -> DataFrame:
+    """(old, new): new places 0, 1, ... in the order of the old ones, which are some of 0 to length - 1.
+
+    Ranges of old places are numbered each on their own and begin where those before them ended; a few ranges for each
+    partition, whose counts are one small table.
+    """
+    ranges = 4 * int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    old = places.select(F.col(name).cast("long").alias("old"), F.floor(F.col(name) / max(1, -(-length // ranges))).alias("range"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = old.groupBy("range").agg(F.count("*").alias("n"))
+    begin = F.broadcast(counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")))  # `ranges` rows
+    local = old.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy("old")))
+    return local.join(begin, "range").select("old", (F.col("begin") + F.col("own") - 1).cast("long").alias("new"))
+
+
+def resolve(key, n: int) -> Stride | Places | Table:
+    """key: an int, a slice, a list of booleans of length n, a list of ints, or a table of places (old, new); negative
+    ints count from the end."""
+    if isinstance(key, DataFrame):
+        return Table(key.select("old", "new"), key.count())
     if isinstance(key, slice):
         start, stop, step = key.indices(n)
         return Stride(start, step, len(range(start, stop, step)))

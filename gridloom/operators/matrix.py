@@ -1,5 +1,7 @@
 """A sparse matrix as a DataFrame: cells (i, j, v), or groups (major, value, n, minors) of equal values in a row or column.
 
+Groups may be cut into blocks, and their places packed as bytes until something asks for them.
+
 Cells that are not stored are zero. Stored zeros stay stored. Values are finite numbers; sums are doubles. All methods
 but `validate`, `item` and those that say so only declare a plan.
 """
@@ -25,13 +27,18 @@ def across(axis: int) -> str:
 
 
 class SparseMatrix:
-    def __init__(self, shape: tuple[int, int], major: str = "row", cells: DataFrame | None = None, groups: DataFrame | None = None):
+    def __init__(
+        self, shape: tuple[int, int], major: str = "row", cells: DataFrame | None = None, groups: DataFrame | None = None,
+        packed: DataFrame | None = None, blocked: bool = False,
+    ):
+        if packed is not None:
+            groups = packed.select("major", "value", "n", codec.unpack("packed").alias("minors"))
         if major not in ("row", "col"):
             raise ValueError(f"major {major!r} is neither row nor col")
         if (cells is None) == (groups is None):
             raise ValueError("either cells or groups are needed")
         self.shape, self.major = (int(shape[0]), int(shape[1])), major
-        self._cells, self._groups = cells, groups
+        self._cells, self._groups, self._packed, self.blocked = cells, groups, packed, blocked
 
     def __repr__(self) -> str:
         return f"<SparseMatrix {self.shape[0]}x{self.shape[1]}, grouped by {self.major}>"
@@ -68,7 +75,11 @@ class SparseMatrix:
     def groups(self) -> DataFrame:
         """(major, value, n, minors): n is stored so that sums of rows never read the places."""
         if self._groups is not None:
-            return self._groups.select("major", "value", "n", "minors")
+            kept = self._groups.select("major", "value", "n", "minors")
+            if not self.blocked:
+                return kept
+            whole = kept.groupBy("major", "value").agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("minors"))).alias("minors"))
+            return whole.select("major", "value", "n", "minors")
         a, b = self.places
         return self._cells.groupBy(F.col(a).alias("major"), F.col("v").alias("value")).agg(
             F.count("*").alias("n"), F.sort_array(F.collect_list(b)).alias("minors")
@@ -83,20 +94,44 @@ class SparseMatrix:
     def grouped(self) -> SparseMatrix:
         return SparseMatrix(self.shape, self.major, groups=self.groups)
 
+    def stored_blocks(self, width: int = 1 << 16) -> DataFrame:
+        """The rows of `blocks`, near ones in near partitions and sorted, with one shuffle of the cells.
+
+        Partitions hold ranges of the major axis, which is numbered without gaps, so no sample has to find their bounds;
+        a long row or column is spread by its blocks.
+        """
+        a, b = self.places
+        ranges = 8 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = {"range": F.floor(F.col(a) / max(1, -(-self.n_major // ranges))), "block": F.floor(F.col(b) / width)}
+        dealt = self.cells.withColumns(keys).repartition("range", "block")
+        blocks = dealt.groupBy("range", "block", F.col(a).alias("major"), F.col("v").alias("value")).agg(
+            F.count("*").alias("n"), F.sort_array(F.collect_list(b)).alias("minors")
+        )
+        return blocks.select("major", "value", "block", "n", "minors").sortWithinPartitions("major", "value", "block")
+
     def regroup(self, major: str) -> SparseMatrix:
         """The same matrix grouped by the other axis: one shuffle."""
         return self if major == self.major else SparseMatrix(self.shape, major, cells=self.cells)
 
+    def _with(self, shape: tuple[int, int], packed: DataFrame | None, groups: DataFrame | None, major: str | None = None) -> SparseMatrix:
+        own = {"groups": groups} if packed is None else {"packed": packed}
+        return SparseMatrix(shape, major or self.major, blocked=self.blocked, **own)
+
     def persist(self) -> SparseMatrix:
-        (self.cells if self._groups is None else self._groups).persist()
+        self.stored.persist()
         return self
 
+    @property
+    def stored(self) -> DataFrame:
+        """The frame that the matrix is made of: cells or groups."""
+        return self.cells if self._groups is None else self._groups
+
     @property
     def T(self) -> SparseMatrix:  # noqa: N802
         """No data moves: names are swapped."""
         major = "col" if self.major == "row" else "row"
         if self._groups is not None:
-            return SparseMatrix(self.shape[::-1], major, groups=self._groups)
+            return self._with(self.shape[::-1], self._packed, self._groups, major)
         return SparseMatrix(self.shape[::-1], major, cells=self._cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
     def packed(self) -> DataFrame:
@@ -105,7 +140,7 @@ class SparseMatrix:
 
     @classmethod
     def from_packed(cls, packed: DataFrame, shape: tuple[int, int], major: str) -> SparseMatrix:
-        return cls(shape, major, groups=packed.select("major", "value", "n", codec.unpack("packed").alias("minors")))
+        return cls(shape, major, packed=packed, blocked="block" in packed.columns)
 
     def validate(self) -> SparseMatrix:
         """Runs a job: places inside the shape, no place twice."""
@@ -126,7 +161,8 @@ class SparseMatrix:
 
     def _values(self, change) -> SparseMatrix:
         if self._groups is not None:
-            return SparseMatrix(self.shape, self.major, groups=self._groups.withColumn("value", change(F.col("value"))))
+            changed = lambda f: f if f is None else f.withColumn("value", change(F.col("value")))
+            return self._with(self.shape, changed(self._packed), changed(self._groups))
         return SparseMatrix(self.shape, self.major, cells=self.cells.withColumn("v", change(F.col("v"))))
 
     def scale(self, s: float) -> SparseMatrix:
@@ -183,17 +219,38 @@ class SparseMatrix:
 
     def select(self, rows=slice(None), cols=slice(None)) -> SparseMatrix:
         """Rows and columns by key, each on its own; lists may repeat and reorder."""
-        cells, shape = self.cells, list(self.shape)
-        for axis, (name, key) in enumerate((("i", rows), ("j", cols))):
-            if key == slice(None):
-                continue
-            found = resolve(key, self.shape[axis])
-            shape[axis] = found.count
-            if isinstance(found, Stride):
-                cells = cells.where(found.condition(F.col(name))).withColumn(name, found.new_place(F.col(name)))
-            else:
-                cells = cells.join(found.table(self.spark), F.col(name) == F.col("old")).withColumn(name, F.col("new")).drop("old", "new")
-        return SparseMatrix(tuple(shape), self.major, cells=cells.select("i", "j", "v"))
+        found = {axis: resolve(key, self.shape[axis]) for axis, key in ((0, rows), (1, cols)) if not (isinstance(key, slice) and key == slice(None))}
+        return self.take(found)
+
+    def take(self, keys: dict) -> SparseMatrix:
+        """Keys of rows (0) and columns (1), resolved. The major one picks groups before their places are unpacked or
+        exploded; a stride of the minor one leaves them grouped too."""
+        shape = tuple(keys[axis].count if axis in keys else self.shape[axis] for axis in (0, 1))
+        if self._groups is None:
+            cells = self._cells.select("i", "j", "v")
+            for axis, key in keys.items():
+                cells = self._moved(cells, "ij"[axis], key)
+            return SparseMatrix(shape, self.major, cells=cells.select("i", "j", "v"))
+        major, minor = (0, 1) if self.major == "row" else (1, 0)
+        out = self
+        if major in keys:
+            moved = lambda f: f if f is None else self._moved(f, "major", keys[major]).select(*f.columns)
+            out = self._with(shape, moved(self._packed), moved(self._groups))
+        if minor not in keys:
+            return self._with(shape, out._packed, out._groups)
+        key = keys[minor]
+        if isinstance(key, Stride):
+            inside = F.transform(F.filter("minors", key.condition), key.new_place)
+            groups = out._groups.withColumn("minors", inside if key.step > 0 else F.reverse(inside)).withColumn("n", F.size("minors").cast("long"))
+            return self._with(shape, None, groups.where("n > 0"))
+        out = SparseMatrix(self.shape, self.major, groups=out._groups)
+        return SparseMatrix(shape, self.major, cells=self._moved(out.cells, "ij"[minor], key).select("i", "j", "v"))
+
+    def _moved(self, frame: DataFrame, name: str, key) -> DataFrame:
+        """frame without the rows whose place is not in the key, and with new places."""
+        if isinstance(key, Stride):
+            return frame.where(key.condition(F.col(name))).withColumn(name, key.new_place(F.col(name)))
+        return frame.join(key.table(self.spark), F.col(name) == F.col("old")).withColumn(name, F.col("new")).drop("old", "new")
 
     def where(self, axis: int, places: DataFrame) -> DataFrame:
         """The cells whose row (axis 0) or column (axis 1) is in the column `place` of places, not renumbered."""
@@ -254,7 +311,8 @@ class SparseMatrix:
     def stats(self) -> DataFrame:
         """(nnz, n_unique, count_nonzero)."""
         real = F.when(F.col("value") != 0, F.col("n")).otherwise(0)
-        return self.groups.select("value", "n").agg(
+        groups = self._groups.groupBy("major", "value").agg(F.sum("n").alias("n")) if self.blocked else self.groups
+        return groups.select("value", "n").agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("nnz"), F.count("*").alias("n_unique"), F.coalesce(F.sum(real), F.lit(0)).alias("count_nonzero")
         )
 

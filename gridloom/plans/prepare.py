@@ -7,12 +7,14 @@ row total, scaled by column sums and log-transformed, not centred, and stored as
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridloom.operators.matrix import SparseMatrix
 from gridloom.operators.normalize import side
-from gridloom.sources.dataset import Dataset, renumbered
+from gridloom.sources.dataset import Dataset, held
 
 
 def prepare(
@@ -36,10 +38,9 @@ def prepare(
     filled = x._filled(0, per_column, [F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("found", F.lit(0)).alias("found")])
     enough = F.col("total") > col_threshold * n_rows
     cols = filled.where(enough & (F.col("found") >= min_rows) if min_rows is not None else enough).select("j")
-    kept = data.follow({0: renumbered(rows, "i").persist(), 1: renumbered(cols, "j").persist()})
-    return Dataset(
-        depth_and_log(kept.x), kept.obs, kept.var, kept.raw, kept.layers, kept.obsm, kept.varm, kept.obsp, kept.varp, kept.uns
-    )
+    kept = data.follow({0: held(rows, "i", n_rows), 1: held(cols, "j", n_cols)})
+    # What was read for the filters is held until release() too.
+    return replace(kept, x=depth_and_log(kept.x), held=(*kept.held, x.stored))
 
 
 def depth_and_log(x: SparseMatrix) -> SparseMatrix:

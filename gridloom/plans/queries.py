@@ -209,30 +209,6 @@ def divide(spark, d):
     return rounded((tables.supply(spark, d) / tables.supply_lines(spark, d)).cells)
 
 
-def window(spark, d):
-    """Ten rows by forty columns of the supply matrix, and a dense table of that shape."""
-    m = tables.supply(spark, d).select(slice(0, 10), slice(0, 40))
-    return m, spark.range(400).select(F.floor(F.col("id") / 40).alias("i"), (F.col("id") % 40).alias("j"), (F.col("id") % 9).cast("double").alias("x"))
-
-
-DENSE = "dense AS (SELECT range // 40 AS i, range % 40 AS j, CAST(range % 9 AS DOUBLE) AS x FROM range(400))"
-
-
-@query(f"WITH {SUPPLY}, {DENSE} SELECT i, j, x + coalesce(v, 0) AS v FROM dense LEFT JOIN supply USING (i, j)")
-def add_dense(spark, d):
-    return elementwise.with_dense(*window(spark, d))
-
-
-@query(f"WITH {SUPPLY}, {DENSE} SELECT i, j, x - coalesce(v, 0) AS v FROM dense LEFT JOIN supply USING (i, j)")
-def rsub_dense(spark, d):
-    return elementwise.with_dense(*window(spark, d), sign=-1)
-
-
-@query(f"WITH {SUPPLY}, {DENSE} SELECT i, j, x * v AS v FROM dense JOIN supply USING (i, j)")
-def multiply_dense(spark, d):
-    return elementwise.multiply_dense(*window(spark, d)).cells
-
-
 def whole(spark, d):
     """The supply matrix, and a dense table of its shape."""
     m = tables.supply(spark, d)
@@ -243,20 +219,25 @@ DENSE_WHOLE = f"dense AS (SELECT a.range AS i, b.range AS j, CAST((a.range * {PA
 
 
 @query(f"WITH {SUPPLY}, {DENSE_WHOLE} SELECT i, j, x + coalesce(v, 0) AS v FROM dense LEFT JOIN supply USING (i, j)")
-def add_dense_whole(spark, d):
+def add_dense(spark, d):
     return elementwise.with_dense(*whole(spark, d))
 
 
 @query(f"WITH {SUPPLY}, {DENSE_WHOLE} SELECT i, j, x - coalesce(v, 0) AS v FROM dense LEFT JOIN supply USING (i, j)")
-def rsub_dense_whole(spark, d):
+def rsub_dense(spark, d):
     return elementwise.with_dense(*whole(spark, d), sign=-1)
 
 
 @query(f"WITH {SUPPLY}, {DENSE_WHOLE} SELECT i, j, x * v AS v FROM dense JOIN supply USING (i, j)")
-def multiply_dense_whole(spark, d):
+def multiply_dense(spark, d):
     return elementwise.multiply_dense(*whole(spark, d)).cells
 
 
+# The same under the names that they had while those without the ending asked a corner only.
+for _name in ("add_dense", "rsub_dense", "multiply_dense"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
+
+
 @query(f"WITH {SUPPLY} SELECT s.i, s.j, s.v * t.v AS v FROM supply s JOIN supply t ON t.i = 0 AND t.j = s.j")
 def multiply_one_row(spark, d):
     m = tables.supply(spark, d)
@@ -493,3 +474,38 @@ def packed_roundtrip(spark, d):
 def codec_roundtrip(spark, d):
     groups = tables.supply(spark, d).groups
     return summary(groups.withColumn("minors", codec.unpack(codec.pack("minors"))))
+
+
+SUPPLIERS_ASKED = (7, 2, 5)
+
+
+@query(f"""WITH {SUPPLY}, n AS (SELECT count(*) AS n FROM part)
+SELECT (i - 1) // 3 AS i, (n - 1 - j) // 2 AS j, v FROM supply, n WHERE i BETWEEN 1 AND 79 AND (i - 1) % 3 = 0 AND (n - 1 - j) % 2 = 0""")
+def dataset_getitem_slice(spark, d):
+    return stored(spark, d, "grouped")[1:80:3, ::-2].x.cells
+
+
+@query(f"""WITH {SUPPLY}, {LINES}, k AS (SELECT CAST(s_suppkey AS BIGINT) AS i, row_number() OVER (ORDER BY s_suppkey) - 1 AS a FROM supplier WHERE s_suppkey % 3 <> 1)
+SELECT a AS i, CAST(m.p AS BIGINT) AS j, s.v, l.v AS w, s_nationkey
+FROM supply s JOIN lines l USING (i, j) JOIN k USING (i) JOIN (VALUES (0, 9), (1, 4), (2, 9)) m(p, o) ON j = m.o JOIN supplier ON s_suppkey = i""")
+def dataset_getitem_mask(spark, d):
+    data = stored(spark, d, "packed")
+    part = data[[i % 3 != 1 for i in range(data.x.shape[0])], [9, 4, 9]]
+    lines = part.matrix("lines").cells.withColumnRenamed("v", "w")
+    return part.x.cells.join(lines, ["i", "j"]).join(part.obs.select("i", "s_nationkey"), "i").select("i", "j", "v", "w", "s_nationkey")
+
+
+@query(f"""WITH {SUPPLY}, k AS (SELECT CAST(s_suppkey AS BIGINT) AS o, CAST(m.a AS BIGINT) AS i FROM supplier JOIN (VALUES {", ".join(f"({a}, {o})" for a, o in enumerate(SUPPLIERS_ASKED))}) m(a, o) ON s_suppkey = m.o)
+SELECT k.i, j, v FROM supply s JOIN k ON s.i = k.o""")
+def dataset_getitem_labels(spark, d):
+    data = tables.supply_dataset(spark, d)
+    names = {r["i"]: r["s_name"] for r in data.obs.where(F.col("i").isin(*SUPPLIERS_ASKED)).select("i", "s_name").collect()}
+    return data[[names[i] for i in SUPPLIERS_ASKED], :].x.cells
+
+
+@query(f"WITH {SUPPLY}, {LINES} SELECT i, j, s.v AS x, l.v AS raw, 2 * s.v AS twice FROM supply s JOIN lines l USING (i, j)")
+def dataset_setters(spark, d):
+    data = tables.supply_dataset(spark, d)
+    data = data.with_raw(data.matrix("lines")).with_layer("twice", data.x * 2).with_x(data.x + 0)
+    named = lambda m, n: m.cells.withColumnRenamed("v", n)
+    return named(data.x, "x").join(named(data.matrix(use_raw=True), "raw"), ["i", "j"]).join(named(data.matrix("twice"), "twice"), ["i", "j"])

@@ -3,7 +3,8 @@
 Every aligned field follows a selection: obs and obsm rows (i), var and varm columns (j), obsp pairs of rows (i, i2),
 varp pairs of columns (j, j2), layers and raw cells (i, j). On disk a dataset is a folder of Parquet tables, one for
 each field, and a manifest; matrices are stored grouped, or packed with places as bytes, in any folder that Spark
-writes.
+writes. Selections by a condition run a job that counts what they keep, since a matrix knows its shape, and hold the kept
+places until `release`; selections by place run none.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import codec
+from gridloom.operators.keys import Table, numbered, resolve
 from gridloom.operators.matrix import SparseMatrix
 
 LAYOUTS = ("grouped", "packed")
@@ -33,6 +36,10 @@ class Dataset:
     obsp: dict[str, DataFrame] = field(default_factory=dict)
     varp: dict[str, DataFrame] = field(default_factory=dict)
     uns: dict = field(default_factory=dict)
+    #: The columns of obs and var that hold labels.
+    obs_label: str | None = None
+    var_label: str | None = None
+    held: tuple[DataFrame, ...] = ()
 
     def __post_init__(self):
         for m in (self.x, self.raw, *self.layers.values()):
@@ -59,6 +66,45 @@ class Dataset:
             raise ValueError(f"shape {matrix.shape}, not {self.x.shape}")
         return replace(self, x=matrix)
 
+    def with_raw(self, matrix: SparseMatrix | None) -> Dataset:
+        """raw has the rows of x, and columns of its own number."""
+        if matrix is not None and not isinstance(matrix, SparseMatrix):
+            raise TypeError(f"{type(matrix).__name__} is no matrix")
+        if matrix is not None and matrix.shape[0] != self.x.shape[0]:
+            raise ValueError(f"raw has {matrix.shape[0]} rows, not {self.x.shape[0]}")
+        return replace(self, raw=matrix)
+
+    def release(self) -> None:
+        """Lets go of what selections hold."""
+        for frame in self.held:
+            frame.unpersist()
+
+    def __getitem__(self, key) -> Dataset:
+        """data[rows, cols]: ints, slices, lists, masks, tables of places, or labels; every field follows."""
+        key = key if isinstance(key, tuple) else (key, slice(None))
+        if len(key) != 2:
+            raise IndexError("a dataset has two axes")
+        found = {}
+        for axis, k in enumerate(key):
+            if isinstance(k, str) or (isinstance(k, list) and k and all(isinstance(x, str) for x in k)):
+                found[axis] = self._labelled(axis, [k] if isinstance(k, str) else k)
+            elif not (isinstance(k, slice) and k == slice(None)):
+                found[axis] = resolve(k, self.x.shape[axis])
+        return self.follow(found)
+
+    def _labelled(self, axis: int, labels: list[str]) -> Table:
+        """Runs a job: each label must be there once."""
+        table, label, name = ((self.obs, self.obs_label, "i"), (self.var, self.var_label, "j"))[axis]
+        if table is None or label is None:
+            raise KeyError(f"there are no labels of {'rows' if axis == 0 else 'columns'}")
+        spark = self.x.spark
+        asked = F.broadcast(spark.createDataFrame(list(enumerate(labels)), "new long, label string"))  # the caller's list
+        places = table.select(F.col(label).alias("label"), F.col(name).cast("long").alias("old")).join(asked, "label").select("old", "new").persist()
+        if sorted(r["new"] for r in places.select("new").collect()) != list(range(len(labels))):
+            places.unpersist()
+            raise KeyError("a label is missing or there more than once")
+        return Table(places, len(labels))
+
     def subset(self, rows: Column | str | None = None, cols: Column | str | None = None) -> Dataset:
         """Rows by a condition on obs and columns by one on var, renumbered in order; every field follows."""
         kept = {}
@@ -66,38 +112,44 @@ class Dataset:
             if condition is not None:
                 if table is None:
                     raise ValueError(f"a condition on {'obs' if axis == 0 else 'var'} needs that table")
-                kept[axis] = renumbered(table.where(condition).select(name), name).persist()
+                kept[axis] = held(table.where(condition).select(name), name, self.x.shape[axis])
         return self.follow(kept)
 
-    def follow(self, kept: dict[int, DataFrame]) -> Dataset:
-        """kept: (old, new) of the rows (0) and columns (1) that stay."""
-        shape = tuple(kept[a].count() if a in kept else self.x.shape[a] for a in (0, 1))
-
+    def follow(self, kept: dict) -> Dataset:
+        """kept: resolved keys of the rows (0) and columns (1) that stay."""
         def moved(frame: DataFrame, places: dict[str, int]) -> DataFrame:
             for name, axis in places.items():
                 if axis in kept:
-                    frame = frame.join(kept[axis], F.col(name) == F.col("old")).withColumn(name, F.col("new")).drop("old", "new")
+                    frame = self.x._moved(frame, name, kept[axis])
             return frame
 
-        def matrix(m: SparseMatrix | None) -> SparseMatrix | None:
-            return m and SparseMatrix(shape, m.major, cells=moved(m.cells, {"i": 0, "j": 1}).select("i", "j", "v"))
+        def raw_keys(m: SparseMatrix) -> dict:
+            # raw may have other columns than x; then only rows are picked.
+            return kept if m.shape == self.x.shape else {a: k for a, k in kept.items() if a == 0}
 
         fields = {k: {n: moved(t, places) for n, t in getattr(self, k).items()} for k, places in FOLLOWS.items()}
+        held = (*self.held, *[k.frame for k in kept.values() if isinstance(k, Table)])
         return Dataset(
-            matrix(self.x), self.obs and moved(self.obs, {"i": 0}), self.var and moved(self.var, {"j": 1}), matrix(self.raw),
-            {n: matrix(m) for n, m in self.layers.items()}, uns=self.uns, **fields,
+            self.x.take(kept), self.obs and moved(self.obs, {"i": 0}), self.var and moved(self.var, {"j": 1}),
+            self.raw and self.raw.take(raw_keys(self.raw)), {n: m.take(kept) for n, m in self.layers.items()},
+            uns=self.uns, obs_label=self.obs_label, var_label=self.var_label, held=held, **fields,
         )
 
     def write(self, path: str, layout: str = "grouped", compression: str = "zstd") -> None:
         if layout not in LAYOUTS:
             raise ValueError(f"layout {layout!r} is none of {LAYOUTS}")
-        spark, manifest = self.x.spark, {"layout": layout, "matrices": {}, "tables": [], "uns": self.uns}
+        spark, manifest = self.x.spark, {"layout": layout, "matrices": {}, "tables": [], "uns": self.uns, "labels": [self.obs_label, self.var_label]}
+        written: dict[int, str] = {}
         for name, m in {"x": self.x, "raw": self.raw, **{f"layers/{n}": m for n, m in self.layers.items()}}.items():
             if m is not None:
-                manifest["matrices"][name] = {"shape": m.shape, "major": m.major}
-                frame = m.groups if layout == "grouped" else m.packed()
-                # Sorted by place, so that a range of rows or columns reads few row groups.
-                frame.repartitionByRange("major").sortWithinPartitions("major", "value").write.option("compression", compression).parquet(f"{path}/{name}")
+                # One matrix in two places is computed and written once.
+                at = written.setdefault(id(m), name)
+                manifest["matrices"][name] = {"shape": m.shape, "major": m.major, "at": at}
+                if at == name:
+                    frame = m.stored_blocks()
+                    if layout == "packed":
+                        frame = frame.select("major", "value", "block", "n", codec.pack("minors").alias("packed"))
+                    frame.write.option("compression", compression).parquet(f"{path}/{name}")
         tables = {"obs": self.obs, "var": self.var, **{f"{k}/{n}": t for k in FOLLOWS for n, t in getattr(self, k).items()}}
         for name, table in tables.items():
             if table is not None:
@@ -110,20 +162,22 @@ class Dataset:
         manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
 
         def matrix(name: str) -> SparseMatrix:
-            about, frame = manifest["matrices"][name], spark.read.parquet(f"{path}/{name}")
+            about = manifest["matrices"][name]
+            frame = spark.read.parquet(f"{path}/{about['at']}")
             shape = tuple(about["shape"])
             if manifest["layout"] == "packed":
                 return SparseMatrix.from_packed(frame, shape, about["major"])
-            return SparseMatrix(shape, about["major"], groups=frame)
+            return SparseMatrix(shape, about["major"], groups=frame, blocked=True)
 
         tables = {n: spark.read.parquet(f"{path}/{n}") for n in manifest["tables"]}
         fields = {k: {n.split("/", 1)[1]: t for n, t in tables.items() if n.startswith(f"{k}/")} for k in FOLLOWS}
         layers = {n.split("/", 1)[1]: matrix(n) for n in manifest["matrices"] if n.startswith("layers/")}
+        labels = manifest.get("labels", [None, None])
         raw = matrix("raw") if "raw" in manifest["matrices"] else None
-        return Dataset(matrix("x"), tables.get("obs"), tables.get("var"), raw, layers, uns=manifest["uns"], **fields)
+        return Dataset(matrix("x"), tables.get("obs"), tables.get("var"), raw, layers, uns=manifest["uns"], obs_label=labels[0], var_label=labels[1], **fields)
 
 
-def renumbered(places: DataFrame, name: str) -> DataFrame:
-    """(old, new): new places 0, 1, ... in the order of the old ones; for tables as long as an axis, never for cells."""
-    order = Window.orderBy(name)
-    return places.select(F.col(name).alias("old"), (F.row_number().over(order) - 1).cast("long").alias("new"))
+def held(places: DataFrame, name: str, length: int) -> Table:
+    """The key of places that stay, some of 0 to length - 1, renumbered in order; runs a job and is held until released."""
+    frame = numbered(places, name, length).persist()
+    return Table(frame, frame.count())

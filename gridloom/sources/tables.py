@@ -55,4 +55,4 @@ def supply_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     var = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("j"), "p_brand", "p_type", "p_size", "p_retailprice")
     x = supply(spark, sf_dir)
     near = obs.select("i", (F.col("i") + 1).alias("i2"), F.lit(1.0).alias("v")).where(F.col("i2") < x.shape[0])
-    return Dataset(x, obs, var, raw=x, layers={"lines": supply_lines(spark, sf_dir)}, obsp={"near": near}, uns={"unit": "pieces"})
+    return Dataset(x, obs, var, raw=x, layers={"lines": supply_lines(spark, sf_dir)}, obsp={"near": near}, uns={"unit": "pieces"}, obs_label="s_name")

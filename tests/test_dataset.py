@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -17,7 +19,7 @@ def test_codec_round_trip(places):
 
 
 def test_codec_bytes():
-    assert codec.encode(np.array([10, 299])).hex() == "0aa002"
+    assert codec.encode(np.array([3, 131, 260])).hex() == "037f8001"
     assert codec.encode(np.array([0, 1, 20000])).hex() == "00009e9c01"
     for edge in (127, 128, 16383, 16384, 2097151, 2097152, (1 << 35) - 1, 1 << 35):
         assert codec.decode(codec.encode(np.array([edge]))).tolist() == [edge]
@@ -39,6 +41,17 @@ def data(spark):
     return dense, Dataset(x, obs, var, raw=x, layers={"twice": x * 2}, obsp={"near": near}, uns={"a": 1})
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 1 << 40), max_size=12), max_size=8))
+def test_codec_of_many_lists(lists):
+    sizes = np.array([len(x) for x in lists], np.int64)
+    digits, ends = codec.encode_all(np.array([p for x in lists for p in sorted(x, reverse=True)], np.int64), sizes)
+    data = [digits[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    assert [codec.decode(d.tobytes()).tolist() for d in data] == [sorted(x) for x in lists]
+    places, stops = codec.decode_all(digits, np.diff(ends, prepend=0))
+    assert [places[a:b].tolist() for a, b in zip([0, *stops], stops, strict=False)] == [sorted(x) for x in lists]
+
+
 def filled(m):
     out = np.zeros(m.shape)
     for r in m.cells.collect():
@@ -63,6 +76,40 @@ def test_subset_moves_every_field(data):
     assert sorted((r.i, r.i2) for r in part.obsp["near"].collect()) == [(i, (i + 1) % 6) for i in range(6)]
 
 
+def test_getitem(spark, data):
+    dense, d = data
+    d = replace(d, obs_label="name", obs=d.obs.selectExpr("*", "concat('r', i) AS name"), var_label="gene")
+    for key, rows, cols in (
+        ((slice(2, 9, 2), slice(None, None, -1)), slice(2, 9, 2), slice(None, None, -1)), ((5, slice(1, 3)), [5], slice(1, 3)),
+        (([True] + [False] * 10 + [True], [4, 0, 4]), [0, 11], [4, 0, 4]), ((["r7", "r2"], "g3"), [7, 2], [3]), ([-1, 3], [-1, 3], slice(None)),
+    ):
+        part = d[key]
+        expected = dense[rows][:, cols]
+        assert part.x.shape == expected.shape and (filled(part.x) == expected).all() and (filled(part.layers["twice"]) == 2 * expected).all()
+        assert part.obs.count() == expected.shape[0] and part.var.count() == expected.shape[1] and (filled(part.raw) == expected).all()
+        part.release()
+    assert [r.name for r in d[["r7", "r2"], :].obs.orderBy("i").collect()] == ["r7", "r2"]
+    for bad in ((["r7", "nobody"], slice(None)), (slice(None), "g99")):
+        with pytest.raises(KeyError):
+            d[bad]
+    with pytest.raises(KeyError):
+        data[1]["r1", :]
+    with pytest.raises(IndexError):
+        d[1, 2, 3]
+
+
+def test_raw_setter(data):
+    dense, d = data
+    wide = d.x.select(slice(None), [0, 1, 2, 3, 4, 5, 0])
+    part = d.with_raw(wide)[1:4]
+    assert part.matrix(use_raw=True).shape == (3, 7) and (filled(part.raw)[:, :6] == dense[1:4]).all()
+    assert d.with_raw(None).raw is None
+    with pytest.raises(TypeError):
+        d.with_raw(dense)
+    with pytest.raises(ValueError):
+        d.with_raw(d.x.select(slice(0, 3)))
+
+
 def test_wrong_parts(data):
     _, d = data
     with pytest.raises(TypeError):
@@ -85,7 +132,7 @@ def reference(dense, least_row, threshold):
     return np.log10(1 + 1000 * np.divide(x, g, where=g > 0, out=np.zeros_like(x))).astype(np.float32)
 
 
-@pytest.mark.parametrize("least_row, threshold", [(-1, 0), (10, 0.05), (3, 1.5)])
+@pytest.mark.parametrize("least_row, threshold", [(-1, 0.2), (7.5, 0.4), (4, 2.2)])
 def test_prepare(data, least_row, threshold):
     dense, d = data
     got = prepare(d, least_row, threshold)

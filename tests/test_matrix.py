@@ -1,12 +1,13 @@
+import re
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.operators import elementwise, product
 from gridloom.operators.matrix import SparseMatrix
 from gridloom.operators.normalize import Normalized
 
-SHAPES = [(1, 1), (5, 1), (1, 7), (8, 6), (12, 20)]
+SHAPES = [(1, 3), (4, 4), (9, 2), (15, 11)]
 
 
 def make(spark, dense, major="row", grouped=False):
@@ -28,9 +29,9 @@ def vector(frame, name, value="v"):
 
 @pytest.fixture(params=SHAPES, ids=str)
 def signed(request):
-    rng = np.random.default_rng(7)
-    dense = rng.integers(-5, 6, request.param).astype(float)
-    return dense * (rng.random(request.param) > 0.4)
+    """Every third cell is zero, the others repeat some values of either sign, half ones among them."""
+    i, j = np.indices(request.param)
+    return np.where((i + 2 * j) % 3 == 0, 0.0, ((5 * i + 3 * j) % 9 - 3.5))
 
 
 @pytest.mark.parametrize("major", ["row", "col"])
@@ -49,17 +50,17 @@ def test_forms_and_reductions(spark, signed, major):
 
 
 def test_full_negative_columns_do_not_report_zero(spark):
-    full = make(spark, np.array([[-1.0, -2], [-4, -3]]))
-    assert vector(full.max(0), "j").tolist() == [-1, -2]
-    holed = make(spark, np.array([[-1.0, -2], [0, -3]]))
-    assert vector(holed.max(0), "j").tolist() == [0, -2]
+    full = make(spark, np.array([[-6.5, -0.25], [-2, -9], [-7, -1]]))
+    assert vector(full.max(0), "j").tolist() == [-2, -0.25] and vector(full.max(1), "i").tolist() == [-0.25, -2, -1]
+    holed = make(spark, np.array([[-6.5, -0.25], [0, -9], [-7, -1]]))
+    assert vector(holed.max(0), "j").tolist() == [0, -0.25] and vector((-holed).min(0), "j").tolist() == [0, 0.25]
 
 
 def test_equal_values_are_grouped_and_stored_zeros_stay(spark):
-    dense = np.zeros((10, 10))
-    dense[:, 0], dense[0, 1] = 3, 7
+    dense = np.tile([4.0, 0, 4, 1], (6, 1))
     stats = make(spark, dense, "col").stats().first()
-    assert (stats.nnz, stats.n_unique, stats.count_nonzero) == (11, 2, 11)
+    assert (stats.nnz, stats.n_unique, stats.count_nonzero) == (18, 3, 18)
+    assert make(spark, dense, "row").stats().first().n_unique == 12
     zero = SparseMatrix((2, 2), cells=spark.createDataFrame([(0, 0, 0.0), (1, 1, 2.0)], "i long, j long, v double"))
     stats = zero.stats().first()
     assert (stats.nnz, stats.count_nonzero) == (2, 1)
@@ -186,5 +187,43 @@ def test_plans(spark, tmp_path):
     plan = stored.sum(1)._jdf.queryExecution().toString()
     assert "minors" not in plan[plan.index("ReadSchema") :]
     view = Normalized(m).matmat(operand(spark, np.ones((3, 1))), 3, 1)
-    assert "CartesianProduct" not in view._jdf.queryExecution().toString()
-    assert F.col("v") is not None
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    # Only the median, one row, is joined without a key.
+    sent = re.findall(r"IdentityBroadcastMode[^\n]*\n[^\n]*middle#", plan)
+    assert len(sent) == plan.count("BroadcastNestedLoopJoin")
+
+
+def test_major_keys_pick_groups_before_they_are_opened(spark, tmp_path):
+    m = make(spark, np.arange(24.0).reshape(6, 4))
+    m.packed().write.parquet(str(tmp_path / "p"))
+    stored = SparseMatrix.from_packed(spark.read.parquet(str(tmp_path / "p")), m.shape, "row")
+    for key, above in (([4, 1, 4], "Join"), (slice(1, 5, 2), "Filter")):
+        plan = stored.select(key)._groups._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("ArrowEvalPython") < plan.index(above) < plan.index("Relation"), plan
+        assert "Generate" not in plan and (filled(stored.select(key)) == np.arange(24.0).reshape(6, 4)[key]).all()
+    strided = stored.select(slice(None), slice(None, None, -2))
+    assert strided._groups is not None and (filled(strided) == np.arange(24.0).reshape(6, 4)[:, ::-2]).all()
+
+
+def test_blocks_are_groups_in_parts(spark):
+    dense = np.tile([2.0, 2, 0, 5, 5, 5, 2], (3, 1))
+    blocks = make(spark, dense).stored_blocks(width=3)
+    m = SparseMatrix(dense.shape, groups=blocks, blocked=True)
+    assert blocks.count() == 9 and (filled(m) == dense).all() and (filled(m.grouped()) == dense).all()
+    assert tuple(m.stats().first()) == (18, 6, 18) and m.groups.count() == 6
+    assert vector(m.sum(1), "i").tolist() == dense.sum(1).tolist() and vector(m.nnz(1), "i").tolist() == [6, 6, 6]
+
+
+def test_places_from_a_table(spark):
+    dense = np.arange(20.0).reshape(5, 4)
+    table = spark.createDataFrame([(3, 0), (0, 1), (3, 2)], "old long, new long")
+    for m in (make(spark, dense), make(spark, dense, grouped=True)):
+        assert (filled(m.select(table)) == dense[[3, 0, 3]]).all() and (filled(m.select(slice(None), table)) == dense[:, [3, 0, 3]]).all()
+
+
+def test_numbering_needs_no_single_task(spark):
+    from gridloom.operators.keys import numbered
+
+    got = {r.old: r.new for r in numbered(spark.range(1000).where("id % 7 = 3 OR id > 980"), "id", 1000).collect()}
+    assert got == {old: new for new, old in enumerate(x for x in range(1000) if x % 7 == 3 or x > 980)}
