@@ -149,7 +149,8 @@ def compare_edited(docs: DataFrame, tasks: int | None = None, split_rows: int =
     # HOT_KEYS ids at most.
     hot = F.broadcast(ids.where(F.col("n") > many).select(*ids_of, F.ceil(F.col("n") / many).cast("int").alias("salts")))
     salts = lambda name: F.explode(F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1)).alias("salt")
-    salt = F.pmod(F.xxhash64("text"), F.coalesce("salts", F.lit(1))).cast("int")
+    # Never null, so that both uses of `base` are one exchange.
+    salt = F.coalesce(F.pmod(F.xxhash64("text"), F.coalesce("salts", F.lit(1))).cast("int"), F.lit(0))
     base = read.join(hot, ids_of, "left").withColumn("salt", salt).drop("salts").repartition(tasks, *keys)
     after = successors(ids.select(*ids_of)).join(ids.drop("n"), ids_of).join(hot.withColumnRenamed("salts", "own_salts"), ids_of, "left")
     after = cut(after.join(hot.withColumnsRenamed({"none": "next_none", "key": "next_key", "salts": "next_salts"}), ["next_none", "next_key"], "left"))
@@ -162,7 +163,7 @@ def compare_edited(docs: DataFrame, tasks: int | None = None, split_rows: int =
     heads = given.join(wanted, keys).select(
         F.col("to_none").alias("none"), F.col("to_key").alias("key"), salts("own_salts"), F.expr("left(text, most)").alias("head"), "text_hash"
     )
-    heads = heads.groupBy(*keys).agg(F.min_by("head", "text_hash").alias("head"))
+    heads = heads.repartition(tasks, *keys).groupBy(*keys).agg(F.min_by("head", "text_hash").alias("head"))
     edited = F.concat(F.expr("left(text, length(text) - floor(length(text) / 3))"), F.expr("left(head, floor(length(text) / 3))"))
     digest = F.sha2("edited", 256)
     both = base.join(heads, keys).withColumn("edited", edited).withColumn("digest", digest).withColumn(
