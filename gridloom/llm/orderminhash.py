@@ -84,7 +84,7 @@ def with_signatures(texts: DataFrame, keys: list[str], numbers: dict[str, Column
 
 
 def tuples(members: Column) -> Column:
-    """The numbers of TUPLES tuples; members (cell, pos, hash) are those of filled cells in order, one for each."""
+    """The numbers of TUPLES tuples, 32 bits of each hash; members (cell, pos, hash) are those of filled cells in order, one for each."""
     n = F.size(members)
 
     def next_tuple(state: Column, j: Column) -> Column:
@@ -95,16 +95,16 @@ def tuples(members: Column) -> Column:
     def written(state: Column) -> Column:
         a, b = F.get(members, state["at"] % n), F.get(members, (state["at"] + 1) % n)
         number = F.when(n == 1, F.xxhash64(a["hash"])).when(a["pos"] <= b["pos"], F.xxhash64(a["hash"], b["hash"])).otherwise(F.xxhash64(b["hash"], a["hash"]))
-        return F.struct(state["at"].alias("at"), F.concat(state["out"], F.array(number.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))).alias("out"), state["j"].alias("j"))
+        return F.struct(state["at"].alias("at"), F.concat(state["out"], F.array(F.shiftright(F.shiftleft(number, 32), 32).cast("int"))).alias("out"), state["j"].alias("j"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<bigint>").alias("out"), F.lit(0).alias("j"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"), F.lit(0).alias("j"))
     bins = F.sequence(F.lit(0), F.lit(TUPLES - 1))
     found = F.aggregate(bins, begin, lambda s, j: F.get(F.transform(F.array(next_tuple(s, j)), written), 0), lambda s: s["out"])
-    return F.when(n > 0, found).otherwise(F.array_repeat(F.lit(None).cast("bigint"), TUPLES))
+    return F.when(n > 0, found).otherwise(F.array_repeat(F.lit(None).cast("int"), TUPLES))
 
 
 def fingerprint(signature: Column) -> Column:
-    return F.concat_ws("", F.transform(signature, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0"), F.lit("-" * 8))))
+    return F.concat_ws("", F.transform(signature, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0"), F.lit("-" * 8))))
 
 
 def likeness(a: Column, b: Column) -> Column:
