@@ -60,7 +60,7 @@ SIGNS = re.compile("[" + re.escape("".join(IMITATES) + SEPARATORS) + "]+")
 SIGN = re.compile("[" + re.escape("".join(IMITATES) + SEPARATORS) + "]")
 #: Symbols of the language model: 0 for what is no letter, a to z, 27 for any other letter.
 SYMBOLS = 28
-MEMORY = 400_000
+MEMORY = 200_000
 
 _class = np.array([27 if chr(c).isalpha() and c > 0x7F else 0 for c in range(0x3000)] + [27], np.uint8)
 for _c in range(26):
