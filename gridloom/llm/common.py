@@ -1,13 +1,17 @@
-"""Helpers shared by the text operators: shared folders, cut lineage, joins with hot keys, components."""
+"""Helpers shared by the text operators: shared folders, cut lineage, memory of workers, joins with hot keys, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one on a local master only."""
@@ -36,6 +40,23 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key, make: Callable[[], T]) -> T:
+    """make(), kept in this Python worker from task to task until another key is asked for or let_go() is called."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Forgets what this Python worker holds: it serves one stage after another, and what an operator keeps would
+    otherwise lie beside what the next one needs."""
+    _held.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from gridloom.llm.common import let_go
+
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 1500
 #: Passages of a sampled text that windows are drawn from, and characters of each.
@@ -285,6 +287,7 @@ def predictor(docs: DataFrame, network: ByteNetwork):
 
     @pandas_udf(RESULT)
     def predicted(texts: pd.Series) -> pd.DataFrame:
+        let_go()
         lang, score = shared.value.predict(texts.tolist())
         return pd.DataFrame({"lang": lang, "score": score})
 
@@ -305,6 +308,7 @@ def keep_known(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame
 
     @pandas_udf(KNOWN)
     def known(texts: pd.Series) -> pd.DataFrame:
+        let_go()
         kept, lang = shared.value.known(texts.tolist())
         return pd.DataFrame({"kept": kept, "lang": lang})
 

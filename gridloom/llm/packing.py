@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, partitions
-from gridloom.llm.pieces import encoder
+from gridloom.llm.pieces import encoder, rows_of
 
 CAPACITY = 4096
 #: So many pieces are packed by one task at most, but for what a round hands back.
@@ -38,10 +38,9 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY)
 
     def run(batches):
         own = encoder(path)
-        for batch in batches:
+        for doc_ids, texts in rows_of(batches):
             rows: list[tuple] = []
-            texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.ids(texts), strict=True):
+            for doc_id, ids in zip(doc_ids, own.ids(texts), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]

@@ -17,6 +17,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from gridloom.llm.common import held
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -32,16 +35,20 @@ LONGEST_SPECIAL = 32
 MOST_PIECES = 600_000
 MOST_CHARS = 32_000_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 2_000_000
-
-_loaded: dict[str, PieceEncoder] = {}
+GROUP_CHARS = 500_000
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    """The encoder of this Python worker; another file or operator takes its place."""
+    return held(("encoder", path), lambda: PieceEncoder(path))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of batches, so many rows at a time, since Python strings beside whole batches take much memory."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.column("doc_id").slice(at, rows).to_pylist(), batch.column("text").slice(at, rows).to_pylist()
+
 
 
 class _Numbers(dict):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gridloom.llm.common import components, cut, partitions, split_by, spread_join
+from gridloom.llm.common import components, cut, let_go, partitions, split_by, spread_join
 
 #: Fixed by the definition of the fingerprint.
 SHINGLE = 3
@@ -57,6 +57,7 @@ def fingerprint(text: str | None) -> int:
 
 @pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
+    let_go()
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, let_go
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 12_000
@@ -81,12 +81,14 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of symbol trigrams over all texts, boundaries between texts included."""
 
     def count(batches):
+        let_go()
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            s = symbols("\n\n".join(t for t in batch.column("text").to_pylist() if t))
-            for i in range(0, max(0, len(s) - 2), 1 << 20):
-                part = s[i : i + (1 << 20) + 2]
-                total += np.bincount((part[:-2] * SYMBOLS + part[1:-1]) * SYMBOLS + part[2:], minlength=SYMBOLS**3)
+            for group in grouped([t for t in batch.column("text").to_pylist() if t], len):
+                s = symbols("\n\n".join(["", *group, ""]))
+                for i in range(0, max(0, len(s) - 2), 1 << 20):
+                    part = s[i : i + (1 << 20) + 2]
+                    total += np.bincount((part[:-2] * SYMBOLS + part[1:-1]) * SYMBOLS + part[2:], minlength=SYMBOLS**3)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["trigram", "n"])
 
@@ -347,7 +349,7 @@ def len0(text: str | None) -> int:
     return len(text or "")
 
 
-def grouped(rows: list, size, most: int = 4_000_000):
+def grouped(rows: list, size, most: int = 1_000_000):
     """Rows in groups of which all but the last reach `most` together."""
     group, held = [], 0
     for x in rows:
@@ -429,6 +431,7 @@ def column(docs: DataFrame, scorer: Scorer):
 
     @pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
+        let_go()
         return pd.Series(shared.value.scores(texts.tolist()))
 
     return scored

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import new_path, partitions
-from gridloom.llm.pieces import encoder
+from gridloom.llm.pieces import encoder, rows_of
 
 SHARD_TOKENS = 1 << 20
 MAGIC = b"GLW1"
@@ -175,8 +175,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = N
 
         kinds = {"part": pa.int32(), "shard": pa.int32(), "part_start": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "data": pa.binary()}
         schema = pa.schema(list(kinds.items()))
-        for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.ids(batch.column("text").to_pylist()), strict=True):
+        for numbers, texts in rows_of(batches):
+            for doc_id, ids in zip(numbers, own.ids(texts), strict=True):
                 doc_ids.append(doc_id)
                 arrays.append(np.append(ids, np.uint32(end_id)))
                 held += len(arrays[-1])
