@@ -43,3 +43,16 @@ def test_long_rows_are_made_by_stretches(spark):
     counted = m.toarray().groupBy("i").agg(F.count("*").alias("n"), F.countDistinct("j").alias("d"), F.max("j").alias("last"), F.sum("v").alias("s"))
     assert sorted(map(tuple, counted.collect())) == [(0, n, n, n - 1, 0.0), (1, n, n, n - 1, sum(at) + 4.0)]
     assert sorted((r.j, r.v) for r in m.toarray().where("v <> 0").collect()) == [(j, j + 1.0) for j in at]
+
+
+def test_a_normalized_window_shares_means_by_stretches(spark, values, monkeypatch):
+    import gridloom.operators.matrix as matrix
+    import gridloom.operators.normalize as normalize
+
+    monkeypatch.setattr(matrix, "STRETCH", 4)
+    monkeypatch.setattr(normalize, "STRETCH", 4)
+    view, expected = Normalized(make(spark, values)), normalized(values)
+    for axis in (normalize.BROADCAST_AXIS, 0):
+        monkeypatch.setattr(normalize, "BROADCAST_AXIS", axis)
+        assert np.allclose(whole(view.toarray(), values.shape), expected, atol=1e-9)
+        assert np.allclose(whole(view[2:7, [12, 0, 12, 6, 1]], (5, 5)), expected[2:7][:, [12, 0, 12, 6, 1]], atol=1e-9)
