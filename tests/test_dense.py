@@ -56,3 +56,17 @@ def test_a_normalized_window_shares_means_by_stretches(spark, values, monkeypatc
         monkeypatch.setattr(normalize, "BROADCAST_AXIS", axis)
         assert np.allclose(whole(view.toarray(), values.shape), expected, atol=1e-9)
         assert np.allclose(whole(view[2:7, [12, 0, 12, 6, 1]], (5, 5)), expected[2:7][:, [12, 0, 12, 6, 1]], atol=1e-9)
+
+
+def test_one_row_or_column_is_not_repeated_for_products(spark, values):
+    full, row, col, one = (make(spark, a) for a in (values, values[:1], values[:, :1], values[:1, :1]))
+    as_array = {id(full): values, id(row): values[:1], id(col): values[:, :1], id(one): values[:1, :1]}
+    for a in (full, row, col, one):
+        for b in (full, row, col, one):
+            x, y = as_array[id(a)], as_array[id(b)]
+            assert (filled(a * b) == x * y).all() and (a * b).shape == (x * y).shape
+            with np.errstate(all="ignore"):
+                expected = np.where(np.broadcast_to(x, (x * y).shape) != 0, x / y, 0)
+            assert np.allclose(filled(a / b), expected)
+            assert (filled(a + b) == x + y).all()
+    assert "Generate" not in plan((full * row).cells) + plan((col * full).cells)
