@@ -29,6 +29,27 @@ def values():
     return a
 
 
+def test_multiply_dense_takes_an_operand_by_place(spark, values):
+    m, x = make(spark, values), np.add.outer(np.arange(9) * 13, np.arange(13)) % 5
+    by_place = ((F.col("i") * 13 + F.col("j")) % 5).cast("double")
+    by_table = dense(spark, m.shape).withColumn("x", by_place)
+    got = elementwise.multiply_dense(m, by_place)
+    assert (filled(got) == values * x).all() and (filled(elementwise.multiply_dense(m, by_table)) == values * x).all()
+    assert "Exchange" not in plan(got.cells)
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_with_dense_shuffles_stored_cells_only(spark, values, sign):
+    m, x = make(spark, values), np.add.outer(np.arange(9) * 13, np.arange(13)) % 5
+    by_place = ((F.col("i") * 13 + F.col("j")) % 5).cast("double")
+    got = elementwise.with_dense(m, by_place, sign)
+    assert (whole(got, m.shape) == x + sign * values).all() and "Join" not in plan(got)
+    by_table = dense(spark, m.shape).withColumn("x", by_place)
+    assert (whole(elementwise.with_dense(m, by_table, sign), m.shape) == x + sign * values).all()
+    with pytest.raises(ValueError, match="more than"):
+        elementwise.with_dense(m, by_place, sign, most=100)
+
+
 def test_toarray_joins_no_dense_table(spark, values):
     m = make(spark, values)
     assert (whole(m.toarray(), m.shape) == values).all() and "Join" not in plan(m.toarray())
