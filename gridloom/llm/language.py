@@ -98,6 +98,40 @@ class ByteNetwork:
         np.exp(logits, out=logits)
         return logits / logits.sum(-1, keepdims=True)
 
+    def scan(self, x: np.ndarray) -> np.ndarray:
+        """Label probabilities (T, labels, B) for bytes x (T, B): `labels` of `states`, with windows along the last axis,
+        where numpy's loops are long, and all steps in the same memory."""
+        h, (t, n) = self.p["U"].shape[1], x.shape
+        # A gate is (tanh(a / 2) + 1) / 2; halving what it is given is exact.
+        half = np.r_[np.full(2 * h, 0.5, np.float32), np.ones(h, np.float32)][:, None]
+        e = np.ascontiguousarray(self.p["E"].transpose(0, 2, 1)) * half
+        u, v = np.ascontiguousarray(self.p["U"].transpose(0, 2, 1)) * half[: 2 * h], np.ascontiguousarray(self.p["V"].transpose(0, 2, 1))
+        out = np.empty((t, 2 * h, n), np.float32)
+        given, gates = np.empty((2, 3 * h, n), np.float32), np.empty((2, 2 * h, n), np.float32)
+        state, reset, new = np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        for i in range(t):
+            for k, at in enumerate((i, t - 1 - i)):
+                np.take(e[k], x[at], axis=1, out=given[k], mode="clip")
+            np.matmul(u, state, out=gates)
+            gates += given[:, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[:, h:], state, out=reset)
+            np.matmul(v, reset, out=new)
+            new += given[:, 2 * h :]
+            np.tanh(new, out=new)
+            new -= state
+            new *= gates[:, :h]
+            state += new
+            out[i, :h], out[t - 1 - i, h:] = state[0], state[1]
+        logits = np.ascontiguousarray(self.p["W"].T) @ out
+        logits += self.p["b"][:, None]
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(1, keepdims=True)
+        return logits
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy over the positions that are not padding, by backpropagation through time."""
         t, n = x.shape
@@ -152,7 +186,8 @@ class ByteNetwork:
                 self.p[k] -= (rate * mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def read(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Every byte of texts, once: for each block of windows their texts, places, what they label and probabilities."""
+        """Every byte of texts, once: for each block of windows their texts, places, what they label and probabilities
+        (T, labels, B)."""
         spans = np.array([(k, at) for k, t in enumerate(texts) for at in range(0, len(t), CORE)], int).reshape(-1, 2)
         sizes = np.array([len(t) for t in texts], int)
         begin = np.maximum(0, spans[:, 1] - CONTEXT)
@@ -165,13 +200,13 @@ class ByteNetwork:
                 x[: reach[j], lane] = np.frombuffer(texts[spans[j, 0]], np.uint8, reach[j], begin[j])
             place = begin[lanes] + np.arange(len(x))[:, None]
             own = (place >= spans[lanes, 1]) & (place < spans[lanes, 1] + CORE) & (x < 256)
-            yield spans[lanes, 0], place, np.where(own, x, 256), self.labels(self.states(x)[0])
+            yield spans[lanes, 0], place, np.where(own, x, 256), self.scan(x)
 
     def positions(self, text: str) -> np.ndarray:
         """The number of the language at every byte of a text."""
         found = np.zeros(len(text.encode()), int)
         for _, place, x, labels in self.read([text.encode()]):
-            found[place[x < 256]] = labels.argmax(-1)[x < 256]
+            found[place[x < 256]] = labels.argmax(1)[x < 256]
         return found
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
@@ -189,10 +224,13 @@ class ByteNetwork:
         none = self.languages.index(UNKNOWN) if UNKNOWN in self.languages else -1
         for text, place, x, labels in self.read(texts):
             counted = (x > 32) & (x < 256)
-            np.add.at(total, text, np.einsum("tnc,tn->nc", labels, counted.astype(np.float32)))
+            np.add.at(total, text, np.einsum("tcn,tn->cn", labels, counted.astype(np.float32)).T)
             if runs:
-                best = labels.argmax(-1)
-                sure = (np.take_along_axis(labels, best[:, :, None], 2)[:, :, 0] >= SURE) & (best != none)
+                best, top = np.zeros(x.shape, np.int16), labels[:, 0].copy()
+                for k in range(1, labels.shape[1]):
+                    best[labels[:, k] > top] = k
+                    np.maximum(top, labels[:, k], out=top)
+                sure = (top >= SURE) & (best != none)
                 label[(begin[text] + place)[counted]] = np.where(sure, best, -1)[counted]
         total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
         if not runs:
