@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from gridloom.functions import codec
 from gridloom.operators import elementwise, product
 from gridloom.operators.matrix import SparseMatrix
 from gridloom.operators.normalize import Normalized
@@ -227,3 +228,33 @@ def test_numbering_needs_no_single_task(spark):
 
     got = {r.old: r.new for r in numbered(spark.range(1000).where("id % 7 = 3 OR id > 980"), "id", 1000).collect()}
     assert got == {old: new for new, old in enumerate(x for x in range(1000) if x % 7 == 3 or x > 980)}
+
+
+def test_listed_places_are_picked_where_groups_are_unpacked(spark, tmp_path):
+    dense = np.tile([2.0, 2, 0, 5, 5, 5, 2, 7], (6, 1))
+    m = make(spark, dense)
+    m.stored_blocks(width=3, packed=True).write.parquet(str(tmp_path / "p"))
+    stored = SparseMatrix.from_packed(spark.read.parquet(str(tmp_path / "p")), m.shape, "row")
+    picked = stored.select([4, 1, 4], [6, 3, 6, 2])
+    assert (filled(picked) == dense[[4, 1, 4]][:, [6, 3, 6, 2]]).all() and filled(stored.select(slice(None), [])).shape == (6, 0)
+    plan = picked.cells._jdf.queryExecution().optimizedPlan().toString()
+    # Bytes are opened once, after rows are picked, and by what knows the places that are asked for.
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Generate") < plan.index("ArrowEvalPython") < plan.rindex("Join"), plan
+    opened = stored._packed.select(codec.unpack_some([6, 1, 2])("packed").alias("p")).select("p").collect()
+    assert {x for r in opened for x in r.p} == {1, 6}
+
+
+def test_stored_groups_go_on_over_batches(spark):
+    rng = np.random.default_rng(1)
+    dense = rng.integers(-2, 3, (9, 40)).astype(float)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for m in (make(spark, dense), make(spark, dense).T):
+            blocks = m.stored_blocks(width=16)
+            back = SparseMatrix(m.shape, m.major, groups=blocks, blocked=True)
+            rows = sorted((r.major, r.value, r.block, r.n, r.minors) for r in blocks.collect())
+            assert rows == sorted((r.major, r.value, r.block, r.n, r.minors) for r in m.blocks(16).collect())
+            packed = SparseMatrix.from_packed(m.stored_blocks(width=16, packed=True), m.shape, m.major)
+            assert (filled(back) == filled(m)).all() and (filled(packed) == filled(m)).all()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
