@@ -44,9 +44,10 @@ class WaveletMatrix:
         current = values.astype(np.uint16 if width <= 16 else np.uint32)
         planes = []
         for level in range(width - 1, -1, -1):
-            ones = (current >> level) & 1 == 1
+            ones = (current & current.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            current = np.concatenate([current[~ones], current[ones]])
+            # Places cost less than masks where bits are mixed.
+            current = np.concatenate([np.compress(~ones, current), np.compress(ones, current)])
         return cls(len(values), planes)
 
     def to_bytes(self) -> bytes:
@@ -77,8 +78,8 @@ class WaveletMatrix:
             ones = self.bits(level)
             before = np.empty_like(current)
             zeros = self.n - int(np.count_nonzero(ones))
-            before[~ones] = current[:zeros]
-            before[ones] = current[zeros:] | (1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~ones)] = current[:zeros]
+            before[np.flatnonzero(ones)] = current[zeros:] | (1 << (len(self.planes) - 1 - level))
             current = before
         return current
 

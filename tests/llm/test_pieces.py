@@ -45,6 +45,27 @@ def test_plain_words_take_the_short_way(both):
     same(both, [" ".join(w + m for m in [",", ".", ""] for w in words)])
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_two_lines_and_runs_of_marks_take_the_short_way(name, monkeypatch):
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), PieceEncoder(path)
+    words = ["inwh.\nWas", "it$$$", "Élève,###", "a\nb", "x!!\nÜber.&&", "ß:;\nI", "don.\nS", "at%*%*"]
+    asked = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return [library.encode(t, **more) for t in texts]
+
+        encode_batch = encode_batch_fast
+
+    monkeypatch.setattr(own, "tokenizer", Watched())
+    same((library, own), [" ".join(words), *words, *[" " + w for w in words], " ".join(reversed(words))])
+    assert not any(asked)
+    same((library, own), ["a\n\nb c.\n\nD e\n f.\n g", "it's\nwe're $$$$$ a$$$$$ b", "a<\n|b a.\n.b a\n'S", "a.\nb.\nc"])
+    assert any(asked)
+
+
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet=st.sampled_from(" \n\t\r ab'srtl.,é́ßΣσ1!<|>endoftext"), max_size=40), max_size=4))
 def test_any_text(both, texts):
