@@ -57,6 +57,20 @@ def let_go() -> None:
     _held.clear()
 
 
+#: Rows that go to a Python worker at a time, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of this session go to Python workers BATCH_ROWS at a time at most, from now on.
+
+    Spark's own 10,000 whole texts are tens of MB on both sides of each task, and the executor's side grows by doubling.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from gridloom.llm.common import let_go
+from gridloom.llm.common import let_go, small_batches
 
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 1500
@@ -321,6 +321,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, noise: bool = False) -> ByteNet
 
 def predictor(docs: DataFrame, network: ByteNetwork):
     """A column function: text to (lang, score)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few hundred KB, fixed by HIDDEN and the languages
 
     @pandas_udf(RESULT)
@@ -342,6 +343,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
 def keep_known(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
     """The columns of docs; documents without a letter go, and those of which too little is surely in a language and nearly
     all is noise to the network. A null in a column `lang` becomes the predicted language."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network or train(docs, noise=True))
 
     @pandas_udf(KNOWN)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, partitions
+from gridloom.llm.common import cut, partitions, small_batches
 from gridloom.llm.pieces import encoder, rows_of
 
 CAPACITY = 4096
@@ -52,6 +52,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY)
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gridloom.llm.common import components, cut, let_go, partitions, split_by, spread_join
+from gridloom.llm.common import components, cut, let_go, partitions, small_batches, split_by, spread_join
 
 #: Fixed by the definition of the fingerprint.
 SHINGLE = 3
@@ -209,6 +209,7 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs."""
+    small_batches(docs.sparkSession)
     prints = cut(docs.select("doc_id", fingerprints("text").alias("fp")))
     found = spread_join(prints, classes(prints).drop("root"), "fp", prints.count())
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -221,6 +222,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that are alone in their component are told by a filter of fixed size and pass without a shuffle.
     """
     text_hash = F.xxhash64("text")
+    small_batches(docs.sparkSession)
     prints = cut(docs.select("doc_id", text_hash.alias("text_hash"), fingerprints("text").alias("fp")))
     found = spread_join(prints, classes(prints.select("doc_id", "fp")).select("fp", "root", "weight"), "fp", prints.count())
     keys = found.groupBy("root", F.xxhash64("doc_id", "text_hash").alias("__key"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")

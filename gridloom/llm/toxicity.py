@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-from gridloom.llm.common import cut, let_go
+from gridloom.llm.common import cut, let_go, small_batches
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 12_000
@@ -92,6 +92,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["trigram", "n"])
 
+    small_batches(docs.sparkSession)
     counts = np.zeros(SYMBOLS**3, np.int64)
     # At most SYMBOLS**3 rows, whatever the number of documents.
     for row in docs.select("text").mapInArrow(count, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect():
@@ -427,6 +428,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
 def column(docs: DataFrame, scorer: Scorer):
     """A column function: text to score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # trigrams and MOST_FEATURES weights: under 1 MB
 
     @pandas_udf(DoubleType())

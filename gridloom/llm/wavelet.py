@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import new_path, partitions
+from gridloom.llm.common import new_path, partitions, small_batches
 from gridloom.llm.pieces import encoder, rows_of
 
 SHARD_TOKENS = 1 << 20
@@ -162,6 +162,7 @@ SHARDS = "part int, shard int, part_start long, n_tokens long, doc_ids array<lon
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> str:
     """Writes the shards of docs and returns the path of their table."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "wavelet")
 
     def run(batches):

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +81,12 @@ def test_memory_is_bounded(both, monkeypatch):
     texts = [" ".join(f"word{i * j}" for j in range(20)) for i in range(30)]
     same(both, texts)
     assert len(both[1].numbers) < 200 and isinstance(both[1].flat, np.ndarray)
+
+
+def test_whole_texts_go_to_workers_in_small_batches(spark):
+    from gridloom.llm import common, packing
+
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'some words' AS text").coalesce(1)
+    packing.pieces_of(docs, public_tokenizers.path(NAMES[0]), end_id=1)
+    sizes = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= common.BATCH_ROWS
