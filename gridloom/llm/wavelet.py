@@ -25,6 +25,8 @@ from gridloom.llm.pieces import encoder, rows_of
 
 SHARD_TOKENS = 1 << 20
 MAGIC = b"GLW1"
+#: The encoders here remember twice as much as elsewhere: beside them their workers hold one shard's ids only.
+MEMORY = 2
 
 
 class WaveletMatrix:
@@ -166,7 +168,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = N
     path = path or new_path(spark, "wavelet")
 
     def run(batches):
-        own, part = encoder(tokenizer), TaskContext.get().partitionId()
+        own, part = encoder(tokenizer, MEMORY), TaskContext.get().partitionId()
         start = shard = held = 0
         doc_ids, arrays = [], []
 

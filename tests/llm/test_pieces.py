@@ -90,3 +90,19 @@ def test_whole_texts_go_to_workers_in_small_batches(spark):
     packing.pieces_of(docs, public_tokenizers.path(NAMES[0]), end_id=1)
     sizes = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long")
     assert max(r.n for r in sizes.collect()) <= common.BATCH_ROWS
+
+
+def test_a_larger_memory_forgets_later_and_changes_no_ids(monkeypatch):
+    from gridloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "MOST_PIECES", 50)
+    path = public_tokenizers.path(NAMES[0])
+    texts = [" ".join(f"word{chr(97 + i)}{chr(97 + k)}" for k in range(9)) for i in range(10)] * 2
+    held = []
+    for memory in (1, 2):
+        own, most = pieces.PieceEncoder(path, memory), 0
+        for t in texts:
+            assert next(own.ids([t])).tolist() == Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+            most = max(most, len(own.numbers))
+        held.append(most)
+    assert held[0] < 70 < held[1] <= 109
