@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,48 @@ def test_one_row_or_column_is_not_repeated_for_products(spark, values):
             assert np.allclose(filled(a / b), expected)
             assert (filled(a + b) == x + y).all()
     assert "Generate" not in plan((full * row).cells) + plan((col * full).cells)
+
+
+@pytest.mark.parametrize("rows, columns", [(1, 2), (2, 4), (4, 6), (256, 1 << 16)])
+def test_tiles_of_any_size_make_every_cell_once(spark, values, monkeypatch, rows, columns):
+    import gridloom.operators.matrix as matrix
+
+    monkeypatch.setattr(matrix, "STRETCH", 6)
+    monkeypatch.setattr(matrix, "TILE_ROWS", rows)
+    monkeypatch.setattr(matrix, "TASK_COLUMNS", columns)
+    monkeypatch.setattr(matrix, "TASK_CELLS", 20)
+    for a in (values, values.T, values[:1], values[:, :1], values[:7, :11]):
+        assert (whole(make(spark, a).toarray(), a.shape) == a).all()
+        x = np.add.outer(np.arange(a.shape[0]) * 13, np.arange(a.shape[1])) % 5
+        assert (whole(elementwise.with_dense(make(spark, a), ((F.col("i") * 13 + F.col("j")) % 5).cast("double")), a.shape) == x + a).all()
+
+
+def test_a_normalized_result_is_rounded_once_for_a_column(spark, values):
+    view = Normalized(make(spark, values))
+    got = view.toarray(digits=3)
+    each = F.round(F.col("v"), 3).alias("v")
+    assert (whole(got, values.shape) == whole(view.toarray().select("i", "j", each), values.shape)).all()
+
+
+@pytest.mark.parametrize("name", ["norm_toarray_whole", "norm_toarray"])
+def test_normalized_queries_round_no_cell_of_its_own(spark, name):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    above, below = plan(entry.queries()[name](spark, folder)).split("Generate", 1)
+    assert "round(" not in above and "round(" in below
+
+
+def written(frame, folder):
+    """Bytes and rows of the frame as Parquet."""
+    frame.write.parquet(str(folder))
+    files = list(folder.glob("*.parquet"))
+    return sum(f.stat().st_size for f in files), sum(pq.read_metadata(f).num_rows for f in files)
+
+
+def test_a_normalized_result_takes_little_room(spark, tmp_path):
+    m = SparseMatrix((1_500, 2_000), cells=spark.range(1_500).selectExpr("id AS i", "id * 7 % 2000 AS j", "double(id % 9 + 1) AS v"))
+    size, rows = written(Normalized(m).toarray(digits=6), tmp_path / "out")
+    assert rows == 3_000_000 and size < rows // 2
