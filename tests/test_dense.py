@@ -128,6 +128,10 @@ def test_normalized_queries_round_no_cell_of_its_own(spark, name):
     assert "round(" not in above and "round(" in below
 
 
+def scattered(spark):
+    return SparseMatrix((150, 20_000), cells=spark.range(1_500).selectExpr("id % 150 AS i", "id * 7 AS j", "double(id % 9 + 1) AS v"))
+
+
 def written(frame, folder):
     """Bytes and rows of the frame as Parquet."""
     frame.write.parquet(str(folder))
@@ -136,6 +140,10 @@ def written(frame, folder):
 
 
 def test_a_normalized_result_takes_little_room(spark, tmp_path):
-    m = SparseMatrix((1_500, 2_000), cells=spark.range(1_500).selectExpr("id AS i", "id * 7 % 2000 AS j", "double(id % 9 + 1) AS v"))
-    size, rows = written(Normalized(m).toarray(digits=6), tmp_path / "out")
+    size, rows = written(Normalized(scattered(spark)).toarray(digits=6), tmp_path / "out")
+    assert rows == 3_000_000 and size < rows // 2
+
+
+def test_a_whole_array_takes_little_room(spark, tmp_path):
+    size, rows = written(scattered(spark).toarray(), tmp_path / "out")
     assert rows == 3_000_000 and size < rows // 2
