@@ -147,3 +147,10 @@ def test_a_normalized_result_takes_little_room(spark, tmp_path):
 def test_a_whole_array_takes_little_room(spark, tmp_path):
     size, rows = written(scattered(spark).toarray(), tmp_path / "out")
     assert rows == 3_000_000 and size < rows // 2
+
+
+@pytest.mark.parametrize("sign", [1])
+def test_a_sum_with_a_dense_operand_takes_little_room(spark, tmp_path, sign):
+    m, by_place = scattered(spark), ((F.col("i") * 20_000 + F.col("j")) % 9).cast("double")
+    size, rows = written(elementwise.with_dense(m, by_place, sign), tmp_path / "out")
+    assert rows == 3_000_000 and size < rows // 2
